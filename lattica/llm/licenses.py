@@ -38,6 +38,7 @@ class Rule(NamedTuple):
 G = r"[^a-z0-9]{1,12}"  # what may stand between two words
 L = r"licen[cs]e"
 V = rf"(?:,?{G})?(?:v(?:ersion)?\.?[ ]?)?"
+UNDER = rf"(?:(?:licen[cs]ed|released|distributed|available){G}under{G}(?:the{G})?(?:terms{G}of{G}(?:the{G})?)?(?:gnu{G})?)?"
 LEFT, RIGHT = r"(?<![a-z0-9])", r"(?![a-z0-9])"
 
 #: (label, SPDX names, keyword, pattern of the full name, pattern of a short name, versions)
@@ -119,12 +120,17 @@ OTHERS: tuple[tuple[str, str, str, int, float], ...] = (
 )
 
 
+#: Labels whose phrases do not follow "licensed under".
+_ALONE = ("unknown", "copyright", "reserved", "proprietary", "commercial", "non-commercial", "public-domain")
+
+
 def rules() -> list[Rule]:
     """All rules, in order of priority, then as listed."""
     out: list[Rule] = []
 
     def add(label: str, keyword: str, pattern: str, priority: int, weight: float) -> None:
-        out.append(Rule(f"r{len(out):03d}-{label}", label, keyword, f"{LEFT}(?:{pattern})", priority, weight))
+        lead = UNDER if 1 < priority and not label.startswith(_ALONE) else ""
+        out.append(Rule(f"r{len(out):03d}-{label}", label, keyword, f"{LEFT}{lead}(?:{pattern})", priority, weight))
 
     for label, spdx, short, full, brief, versions in FAMILIES:
         named = "licen" if "licen" in full and label != "unicode" else short
