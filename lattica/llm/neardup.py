@@ -10,12 +10,18 @@ and a shingle stops at the text's latest component, so the work is linear in the
 plus ``m log m``.
 
 Search. Texts of equal multisets are one class from the start. Classes that agree on
-all rows of a band share a bucket; each bucket's leader is compared with its members, by
-exact multiset overlap of their whole texts. Linked classes form components. Where a
-bucket still holds several components, its members outside the leader's component meet
-growing random slices of the bucket (8, 16, 32, ... members) until they are linked or
-have met every member of another component. No bucket pair that could join two
-components goes unverified, and no bucket emits all its pairs.
+all rows of a band share a bucket; the bucket's leader is the member that shares most
+buckets with others, so in a family of copies the text they were made from. A leader's
+star is all classes of its buckets; each is compared with the leader by exact multiset
+overlap of whole texts. Linked classes form components.
+
+Open members, those outside their leader ``c``'s component, may still be linked to
+another member. Were ``u`` and ``m`` linked, ``|u & m| >= k (|u| + |m|)``, k = t / (1 + t),
+and at most ``|u & c|`` of that lies in ``c``. So they share a shingle in excess of ``c``,
+unless ``k (|u| + |m|) <= |u & c|``, which the sizes alone tell. Of an open member the
+``(1 - t) |u| + 1`` smallest such shingles suffice (prefix filter). Candidates are pairs of
+a star that share one of those, and are verified. No bucket pair that could join two
+components is lost, and families of copies do not emit their pairs.
 """
 
 from __future__ import annotations
@@ -33,8 +39,6 @@ from lattica.llm.workspace import Workspace
 
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
-#: Members of a bucket that the first slice takes.
-SLICE = 8
 _BYTES = 4 << 20
 _KEY_BITS = np.uint64(50)
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -118,31 +122,67 @@ def _signatures(bands: int, rows: int):
     return run
 
 
-def overlaps(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Weighted Jaccard similarity of the shingle multisets of each pair of texts (0 of two empty ones)."""
+def overlaps(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Of each pair of texts: the size of the shingle multisets' intersection and of their
+    union; then what the right texts have in excess: owner and hash of each occurrence."""
     n = len(left)
     ka, ca, oa = multisets(left)
     kb, cb, ob = multisets(right)
-    keys, counts = np.concatenate([ka, kb]), np.concatenate([ca, cb])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    same = np.flatnonzero(keys[1:] == keys[:-1])
-    shared = np.bincount((keys[same] >> _KEY_BITS).astype(np.int64), np.minimum(counts[same], counts[same + 1]), n)
-    total = np.bincount(oa, ca, n) + np.bincount(ob, cb, n) - shared
-    return np.where(total > 0, shared / np.maximum(total, 1), 0.0)
+    at = np.searchsorted(ka, kb)
+    at_safe = np.minimum(at, max(len(ka) - 1, 0))
+    other = np.where((at < len(ka)) & (ka[at_safe] == kb), ca[at_safe], 0) if len(ka) else np.zeros(len(kb), np.int64)
+    common = np.minimum(cb, other)
+    shared = np.bincount(ob, common, n).astype(np.int64)
+    total = (np.bincount(oa, ca, n) + np.bincount(ob, cb, n)).astype(np.int64) - shared
+    more = cb - common
+    owner = np.repeat(ob, more)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(more) - more, more) + np.repeat(common, more)
+    shingle = np.repeat(kb & ((np.uint64(1) << _KEY_BITS) - np.uint64(1)), more)
+    return shared, total, (owner, mix64(shingle * np.uint64(_GOLDEN) + nth.astype(np.uint64)))
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Array, pa.Array]]:
+    """Row ranges of a batch of pairs with their two texts, bounded in bytes."""
+    left, right = as_strings(batch.column("text_a")), as_strings(batch.column("text_b"))
+    ends = np.cumsum((pc.binary_length(left).to_numpy() + pc.binary_length(right).to_numpy()).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BYTES, side="right")))
+        yield at, stop, left.slice(at, stop - at), right.slice(at, stop - at)
+        at = stop
+
+
+def _star_verifier(threshold: float):
+    """Of (a, b, wanted, texts): a, b, inter, linked, and b's excess over a where wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, stop, left, right in _pieces(batch):
+                n = stop - at
+                shared, total, (owner, excess) = overlaps(left, right)
+                linked = (shared >= threshold * total - 1e-9) & (total > 0)
+                size = shared + np.bincount(owner, minlength=n)
+                limit = np.where(linked, size, np.floor((1 - threshold) * size + 1e-9).astype(np.int64) + 1)
+                limit[~batch.column("wanted").slice(at, n).to_numpy(zero_copy_only=False)] = 0
+                order = np.lexsort((excess, owner))
+                owner, excess = owner[order], excess[order]
+                rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                keep = rank < limit[owner]
+                lengths = np.bincount(owner[keep], minlength=n)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(excess[keep].view(np.int64)))
+                yield pa.record_batch([batch.column("a").slice(at, n), batch.column("b").slice(at, n), pa.array(shared), pa.array(linked), lists], names=["a", "b", "inter", "linked", "excess"])
+
+    return run
 
 
 def _verifier(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right, keep = as_strings(batch.column(2)), as_strings(batch.column(3)), np.zeros(batch.num_rows, bool)
-            ends = np.cumsum((pc.binary_length(left).to_numpy() + pc.binary_length(right).to_numpy()).astype(np.int64))
-            at = 0
-            while at < batch.num_rows:
-                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BYTES, side="right")))
-                keep[at:stop] = overlaps(left.slice(at, stop - at), right.slice(at, stop - at)) >= threshold - 1e-12
-                at = stop
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            keep = np.zeros(batch.num_rows, bool)
+            for at, stop, left, right in _pieces(batch):
+                shared, total, _ = overlaps(left, right)
+                keep[at:stop] = (shared >= threshold * total - 1e-9) & (total > 0)
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -189,55 +229,64 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     # One class for each multiset; its text is that of its first row.
     row = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row")
     classes = ws.stage(signed.groupBy("cls").agg(row, F.first("weight").alias("weight"), F.first("buckets").alias("buckets")), "classes")
-    entries = classes.select("cls", "weight", F.explode("buckets").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cls", "weight")).alias("leader")).where("n > 1")
-    members = ws.stage(entries.join(shared, "bucket").select("bucket", "n", "cls", "weight", F.col("leader.cls").alias("leader"), F.col("leader.weight").alias("leader_weight")), "members")
-    near = F.least("weight", "leader_weight") >= threshold * F.greatest("weight", "leader_weight") - 1e-9
-    pairs = members.where("cls != leader").where(near).select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
-
+    members = ws.stage(_stars(ws, classes), "members")
     texts = ws.stage(_candidate_texts(source, classes, members), "texts")
-    edges = ws.stage(_verified(ws, pairs, texts, threshold), "links")
-    comps = ws.stage(components(ws, edges), "components")
-    taken, largest = 0, members.agg(F.max("n")).first()[0] or 0
-    while taken < largest:
-        more = _open_pairs(ws, members, comps, taken, SLICE if not taken else taken + SLICE, threshold)
-        if more is None:
-            break
-        taken += SLICE if not taken else taken + SLICE
-        found = ws.stage(_verified(ws, more, texts, threshold), "links")
-        if not found.isEmpty():
-            comps = ws.stage(components(ws, comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found)), "components")
+    star = _with_texts(members.where("a != b"), texts, "wanted").mapInArrow(_star_verifier(threshold), "a binary, b binary, inter long, linked boolean, excess array<long>")
+    star = ws.stage(star, "stars")
+    links = star.where("linked").select("a", "b")
+    comps = ws.stage(components(ws, links), "components")
+    candidates = ws.stage(_open_pairs(ws, star, members, comps, threshold), "open")
+    found = ws.stage(_with_texts(candidates, texts).mapInArrow(_verifier(threshold), "a binary, b binary"), "links")
+    if not found.isEmpty():
+        comps = ws.stage(components(ws, comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found)), "components")
 
     labelled = signed.select("doc_id", "cls").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", F.coalesce("comp", "cls").alias("comp"))
     sizes = labelled.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return ws.finish(labelled.join(sizes, "comp").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))
 
 
+def _stars(ws: Workspace, classes: DataFrame) -> DataFrame:
+    """(a, b, weight, wanted): leader, member (itself too), the member's weight, and whether
+    the star has other members than those two."""
+    entries = classes.select("cls", "weight", F.explode("buckets").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    entries = ws.stage(entries.join(shared, "bucket"), "entries")
+    density = entries.groupBy("cls").agg(F.sum("n").alias("density"))
+    leaders = entries.join(density, "cls").groupBy("bucket").agg(F.max(F.struct("density", "cls")).alias("leader"))
+    stars = ws.stage(entries.join(leaders, "bucket").select(F.col("leader.cls").alias("a"), F.col("cls").alias("b"), "weight").distinct(), "stars")
+    sizes = stars.groupBy("a").agg((F.count(F.lit(1)) > 2).alias("wanted"))
+    return stars.join(sizes, "a")
+
+
 def _candidate_texts(source: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
     """(cls, text) of every class that shares a bucket."""
-    wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"))
+    wanted = classes.join(members.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi").select("cls", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"))
     found = source.alias("s").join(wanted.alias("w"), F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.text_hash") == F.col("w.text_hash")))
     return found.select("w.cls", "s.text").dropDuplicates(["cls"])
 
 
-def _verified(ws: Workspace, pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _with_texts(pairs: DataFrame, texts: DataFrame, *more: str) -> DataFrame:
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(_verifier(threshold), "a binary, b binary")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", *more, "text_a", "text_b")
 
 
-def _open_pairs(ws: Workspace, members: DataFrame, comps: DataFrame, taken: int, size: int, threshold: float) -> DataFrame | None:
-    """Pairs that could still join two components: members outside their leader's component
-    against the next slice of their bucket. None when no bucket holds two components."""
+def _open_pairs(ws: Workspace, star: DataFrame, members: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a star that could still join two components, by shared excess or by size."""
     of = lambda key: comps.select(F.col("node").alias(key), F.col("comp").alias(f"{key}_comp"))
-    labelled = members.join(of("cls"), "cls", "left").join(of("leader"), "leader", "left")
-    labelled = ws.stage(labelled.select("bucket", "n", "cls", "weight", "leader", F.coalesce("cls_comp", "cls").alias("comp"), F.coalesce("leader_comp", "leader").alias("leader_comp")), "labelled")
-    outside = labelled.where("comp != leader_comp").where(F.col("n") > taken)
-    if outside.isEmpty():
-        return None
-    place = F.pmod(F.xxhash64("bucket", "cls"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")
-    pivots = labelled.where((place >= taken) & (place < taken + size)).select("bucket", F.col("cls").alias("other"), F.col("weight").alias("other_weight"), F.col("comp").alias("other_comp"))
-    near = F.least("weight", "other_weight") >= threshold * F.greatest("weight", "other_weight") - 1e-9
-    met = outside.join(pivots, "bucket").where("comp != other_comp AND other != leader").where(near)
-    return met.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+    rows = star.join(members.select("a", "b", "weight", "wanted").where("wanted"), ["a", "b"])
+    rows = rows.join(of("b"), "b", "left").join(of("a"), "a", "left")
+    rows = rows.select("a", "b", "weight", "inter", "excess", F.coalesce("b_comp", "b").alias("comp"), (F.coalesce("b_comp", "b") != F.coalesce("a_comp", "a")).alias("open"))
+    live = rows.groupBy("a").agg(F.max("open").alias("any"), F.min("weight").alias("least")).where("any").drop("any")
+    rows = ws.stage(rows.join(live, "a"), "live")
+    entries = rows.select("a", "b", "weight", "comp", "open", F.explode("excess").alias("shingle"))
+    mixed = entries.groupBy("a", "shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("a", "shingle")
+    entries = ws.stage(entries.join(mixed, ["a", "shingle"], "left_semi"), "excess")
+    other = lambda df: df.withColumnsRenamed({"b": "m", "weight": "m_weight", "comp": "m_comp"})
+    near = F.least("weight", "m_weight") >= threshold * F.greatest("weight", "m_weight") - 1e-9
+    pair = (F.least("b", "m").alias("x"), F.greatest("b", "m").alias("y"))
+    by_excess = entries.where("open").join(other(entries.drop("open")), ["a", "shingle"]).where("comp != m_comp").where(near).select(*pair)
+    k = threshold / (1 + threshold)
+    roomy = rows.where("open").withColumn("room", F.col("inter") / k - F.col("weight") + 1e-6).where("room >= least").drop("excess", "least", "open", "inter")
+    by_size = roomy.join(other(rows.select("a", "b", "weight", "comp")), "a").where("m_weight <= room AND comp != m_comp").where(near).select(*pair)
+    return by_excess.union(by_size).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
