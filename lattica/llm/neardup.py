@@ -15,13 +15,17 @@ buckets with others, so in a family of copies the text they were made from. A le
 star is all classes of its buckets; each is compared with the leader by exact multiset
 overlap of whole texts. Linked classes form components.
 
-Open members, those outside their leader ``c``'s component, may still be linked to
-another member. Were ``u`` and ``m`` linked, ``|u & m| >= k (|u| + |m|)``, k = t / (1 + t),
-and at most ``|u & c|`` of that lies in ``c``. So they share a shingle in excess of ``c``,
-unless ``k (|u| + |m|) <= |u & c|``, which the sizes alone tell. Of an open member the
-``(1 - t) |u| + 1`` smallest such shingles suffice (prefix filter). Candidates are pairs of
-a star that share one of those, and are verified. No bucket pair that could join two
-components is lost, and families of copies do not emit their pairs.
+Members of a bucket outside its leader's component may still be linked to another
+member. Each such bucket takes as pivot the class of its leader's component that shares
+most buckets, and all its members are compared with the pivot ``c``. Were an open member
+``u``, one outside the pivot's component, linked to a member ``m``, then
+``|u & m| >= k (|u| + |m|)``, k = t / (1 + t), and at most ``|u & c|`` of that lies in ``c``. So
+they share a shingle in excess of ``c``, unless ``k (|u| + |m|) <= |u & c|``, which the sizes
+alone tell. Of an open member the ``(1 - t) |u| + 1`` smallest such shingles suffice (prefix
+filter). If most linked members share an excess, the pivot itself is a copy with edits, and
+the linked member with most of that excess takes its place. Candidates are pairs of a pivot's members that share one of those, and are
+verified. No bucket pair that could join two components is lost, and families of copies
+do not emit their pairs.
 """
 
 from __future__ import annotations
@@ -153,7 +157,7 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Array, pa.Arra
 
 
 def _star_verifier(threshold: float):
-    """Of (a, b, wanted, texts): a, b, inter, linked, and b's excess over a where wanted."""
+    """Of (a, b, texts): a, b, inter, linked, and b's excess over a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +167,6 @@ def _star_verifier(threshold: float):
                 linked = (shared >= threshold * total - 1e-9) & (total > 0)
                 size = shared + np.bincount(owner, minlength=n)
                 limit = np.where(linked, size, np.floor((1 - threshold) * size + 1e-9).astype(np.int64) + 1)
-                limit[~batch.column("wanted").slice(at, n).to_numpy(zero_copy_only=False)] = 0
                 order = np.lexsort((excess, owner))
                 owner, excess = owner[order], excess[order]
                 rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
@@ -229,52 +232,91 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     # One class for each multiset; its text is that of its first row.
     row = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row")
     classes = ws.stage(signed.groupBy("cls").agg(row, F.first("weight").alias("weight"), F.first("buckets").alias("buckets")), "classes")
-    members = ws.stage(_stars(ws, classes), "members")
-    texts = ws.stage(_candidate_texts(source, classes, members), "texts")
-    star = _with_texts(members.where("a != b"), texts, "wanted").mapInArrow(_star_verifier(threshold), "a binary, b binary, inter long, linked boolean, excess array<long>")
-    star = ws.stage(star, "stars")
-    links = star.where("linked").select("a", "b")
-    comps = ws.stage(components(ws, links), "components")
-    candidates = ws.stage(_open_pairs(ws, star, members, comps, threshold), "open")
-    found = ws.stage(_with_texts(candidates, texts).mapInArrow(_verifier(threshold), "a binary, b binary"), "links")
-    if not found.isEmpty():
-        comps = ws.stage(components(ws, comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found)), "components")
+    entries = ws.stage(_entries(ws, classes), "entries")
+    texts = ws.stage(_candidate_texts(source, classes, entries), "texts")
+    leaders = entries.where("cls != leader").select(F.col("leader").alias("a"), F.col("cls").alias("b"), "weight", "leader_weight")
+    near = F.least("weight", "leader_weight") >= threshold * F.greatest("weight", "leader_weight") - 1e-9
+    verified = lambda pairs: ws.stage(_with_texts(pairs, texts).mapInArrow(_verifier(threshold), "a binary, b binary"), "links")
+    links = verified(leaders.where(near).select("a", "b").distinct())
+    comps = _joined(ws, None, links)
+    members = ws.stage(_pivots(entries, comps), "members")
+    measured = lambda pairs: ws.stage(_with_texts(pairs.select("a", "b"), texts).mapInArrow(_star_verifier(threshold), "a binary, b binary, inter long, linked boolean, excess array<long>"), "stars")
+    star = measured(members)
+    better = ws.stage(_better_pivots(star), "better")
+    if not better.isEmpty():
+        moved = members.join(better, "a")
+        moved = moved.select(F.col("pivot").alias("a"), "b", "weight", F.lit(0).cast("long").alias("a_weight")).union(moved.select(F.col("pivot").alias("a"), F.col("a").alias("b"), F.col("a_weight").alias("weight"), F.lit(0).cast("long")))
+        moved = ws.stage(moved.where("a != b").distinct(), "moved")
+        star = star.join(better, "a", "left_anti").union(measured(moved))
+        members = members.join(better, "a", "left_anti").union(moved)
+    comps = _joined(ws, comps, star.where("linked").select("a", "b"))
+    comps = _joined(ws, comps, verified(ws.stage(_open_pairs(ws, star, members, comps, threshold), "open")))
 
     labelled = signed.select("doc_id", "cls").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", F.coalesce("comp", "cls").alias("comp"))
     sizes = labelled.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return ws.finish(labelled.join(sizes, "comp").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))
 
 
-def _stars(ws: Workspace, classes: DataFrame) -> DataFrame:
-    """(a, b, weight, wanted): leader, member (itself too), the member's weight, and whether
-    the star has other members than those two."""
-    entries = classes.select("cls", "weight", F.explode("buckets").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    entries = ws.stage(entries.join(shared, "bucket"), "entries")
-    density = entries.groupBy("cls").agg(F.sum("n").alias("density"))
-    leaders = entries.join(density, "cls").groupBy("bucket").agg(F.max(F.struct("density", "cls")).alias("leader"))
-    stars = ws.stage(entries.join(leaders, "bucket").select(F.col("leader.cls").alias("a"), F.col("cls").alias("b"), "weight").distinct(), "stars")
-    sizes = stars.groupBy("a").agg((F.count(F.lit(1)) > 2).alias("wanted"))
-    return stars.join(sizes, "a")
+def _joined(ws: Workspace, comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of the links and of what ``comps`` already joins."""
+    if comps is not None:
+        if links.isEmpty():
+            return comps
+        links = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links)
+    return ws.stage(components(ws, links), "components")
 
 
-def _candidate_texts(source: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+def _entries(ws: Workspace, classes: DataFrame) -> DataFrame:
+    """(bucket, cls, weight, density, leader, leader_weight) of every class in a shared bucket.
+
+    ``density`` counts the members of all its buckets; the leader has most.
+    """
+    rows = classes.select("cls", "weight", F.explode("buckets").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = ws.stage(rows.join(shared, "bucket"), "rows")
+    rows = rows.join(rows.groupBy("cls").agg(F.sum("n").alias("density")), "cls")
+    leaders = rows.groupBy("bucket").agg(F.max(F.struct("density", "cls", "weight")).alias("l"))
+    return rows.join(leaders, "bucket").select("bucket", "cls", "weight", "density", F.col("l.cls").alias("leader"), F.col("l.weight").alias("leader_weight"))
+
+
+def _pivots(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, b, weight, a_weight): pivot and member, of buckets of three members or more with several components."""
+    of = lambda key: comps.select(F.col("node").alias(key), F.col("comp").alias(f"{key}_comp"))
+    rows = entries.join(of("cls"), "cls", "left").join(of("leader"), "leader", "left")
+    rows = rows.select("bucket", "cls", "weight", "density", F.coalesce("cls_comp", "cls").alias("comp"), F.coalesce("leader_comp", "leader").alias("leader_comp"))
+    best = rows.groupBy("comp").agg(F.max(F.struct("density", "cls", "weight")).alias("p")).withColumnRenamed("comp", "leader_comp")
+    mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("comp") != F.col("leader_comp")).alias("mixed")).where("n > 2 AND mixed").select("bucket")
+    rows = rows.join(mixed, "bucket", "left_semi").select("leader_comp", "cls", "weight").distinct().join(best, "leader_comp")
+    return rows.where("p.cls != cls").select(F.col("p.cls").alias("a"), F.col("cls").alias("b"), "weight", F.col("p.weight").alias("a_weight"))
+
+
+def _better_pivots(star: DataFrame) -> DataFrame:
+    """(a, pivot) of pivots that lack shingles which most of their linked members have."""
+    linked = star.where("linked")
+    sizes = linked.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n >= 8")
+    excess = linked.join(sizes, "a").select("a", "n", "b", "inter", F.explode("excess").alias("shingle"))
+    usual = excess.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n")).where("2 * held > n").select("a", "shingle")
+    held = excess.join(usual, ["a", "shingle"]).groupBy("a", "b", "inter").agg(F.count(F.lit(1)).alias("held"))
+    return held.groupBy("a").agg(F.max(F.struct("held", "inter", "b")).getField("b").alias("pivot"))
+
+
+def _candidate_texts(source: DataFrame, classes: DataFrame, entries: DataFrame) -> DataFrame:
     """(cls, text) of every class that shares a bucket."""
-    wanted = classes.join(members.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi").select("cls", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"))
+    wanted = classes.join(entries.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"))
     found = source.alias("s").join(wanted.alias("w"), F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.text_hash") == F.col("w.text_hash")))
     return found.select("w.cls", "s.text").dropDuplicates(["cls"])
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame, *more: str) -> DataFrame:
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", *more, "text_a", "text_b")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
 
 def _open_pairs(ws: Workspace, star: DataFrame, members: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a star that could still join two components, by shared excess or by size."""
+    """Pairs of a pivot's members that could still join two components, by shared excess or by size."""
     of = lambda key: comps.select(F.col("node").alias(key), F.col("comp").alias(f"{key}_comp"))
-    rows = star.join(members.select("a", "b", "weight", "wanted").where("wanted"), ["a", "b"])
+    rows = star.join(members.select("a", "b", "weight").distinct(), ["a", "b"])
     rows = rows.join(of("b"), "b", "left").join(of("a"), "a", "left")
     rows = rows.select("a", "b", "weight", "inter", "excess", F.coalesce("b_comp", "b").alias("comp"), (F.coalesce("b_comp", "b") != F.coalesce("a_comp", "a")).alias("open"))
     live = rows.groupBy("a").agg(F.max("open").alias("any"), F.min("weight").alias("least")).where("any").drop("any")
