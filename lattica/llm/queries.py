@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, exact_dedup, html_text, licenses, mixing, neardup, sharding, tokens, urls
+from lattica.llm import decontaminate, exact_dedup, html_text, licenses, mixing, neardup, sharding, tokens, toxicity, urls
 
 #: Folder of public tokenizer files; a parameter of the operators, never copied.
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages"))
 
@@ -63,6 +67,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_html_text": op3_html_text,
     "op4_mixing": op4_mixing,
     "op5_token_ids": op5_token_ids,

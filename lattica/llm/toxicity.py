@@ -42,13 +42,20 @@ class Settings:
     word_rows: int = 1 << 13
     char_rows: int = 1 << 14
     #: Labelled rows that training may read, chosen by hash of their id.
-    toxic_rows: int = 800
-    clean_rows: int = 1600
-    steps: int = 500
-    batch_docs: int = 24
+    toxic_rows: int = 1000
+    clean_rows: int = 2000
+    steps: int = 300
+    batch_docs: int = 18
     #: Windows of a clean text, and of a toxic one, that a step may look at.
-    step_windows: int = 24
+    step_windows: int = 12
+    #: Texts of more windows than this only calibrate: one label says little of so many.
+    train_windows: int = 128
     rate: float = 0.01
+    #: Of the word and n-gram tables: what is added to Adam's divisor, and weight decay.
+    table_floor: float = 1e-3
+    table_decay: float = 0.1
+    char_scale: float = 0.05
+    gram_drop: float = 0.2
     seed: int = 7
 
 
@@ -141,7 +148,7 @@ class Network:
         rng, h, d = np.random.default_rng(s.seed), s.hidden, s.word_dim + s.char_dim
         draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         p = {
-            "word": draw(s.word_rows, s.word_dim, scale=0.01), "char": draw(s.char_rows, s.char_dim, scale=0.3),
+            "word": draw(s.word_rows, s.word_dim, scale=0.01), "char": draw(s.char_rows, s.char_dim, scale=s.char_scale),
             "wx": draw(d, 2, 3 * h, scale=d**-0.5), "bx": np.zeros((2, 3 * h), np.float32),
             "u": draw(2, h, 3 * h, scale=h**-0.5), "bn": np.zeros((2, 1, h), np.float32),
             "wa": draw(2 * h, h, scale=(2 * h) ** -0.5), "ba": np.zeros(h, np.float32), "va": draw(h, scale=h**-0.5),
@@ -235,8 +242,8 @@ def log_complement(logit: np.ndarray) -> np.ndarray:
 
 
 class _Adam:
-    def __init__(self, p: dict[str, np.ndarray], rate: float):
-        self.p, self.rate, self.n = p, rate, 0
+    def __init__(self, p: dict[str, np.ndarray], s: Settings):
+        self.p, self.floor, self.decay, self.n = p, s.table_floor, s.table_decay, 0
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
 
@@ -245,7 +252,11 @@ class _Adam:
         for k, d in g.items():
             self.m[k] += 0.1 * (d - self.m[k])
             self.v[k] += 0.01 * (d * d - self.v[k])
-            self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.n)) / (np.sqrt(self.v[k] / (1 - 0.99**self.n)) + 1e-6)
+            table = k in ("word", "char")  # of rare rows a small gradient must stay a small step
+            move = (self.m[k] / (1 - 0.9**self.n)) / (np.sqrt(self.v[k] / (1 - 0.99**self.n)) + (self.floor if table else 1e-6))
+            self.p[k] -= rate * move
+            if table:
+                self.p[k][:, 1:] *= 1 - rate * self.decay
 
 
 def train(texts: list[str], toxic: list[int], s: Settings | None = None) -> Network:
@@ -267,13 +278,15 @@ def train(texts: list[str], toxic: list[int], s: Settings | None = None) -> Netw
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
     # A fifth of the texts calibrates, the rest trains.
     held = rng.permutation(len(y)) < len(y) // 5
-    pools = [np.flatnonzero((y == k) & ~held & (np.diff(first) > 0)) for k in (0, 1)]
+    pools = [np.flatnonzero((y == k) & ~held & (np.diff(first) > 0) & (np.diff(first) <= s.train_windows)) for k in (0, 1)]
     if min(map(len, pools)) == 0:
         pools = [np.flatnonzero((y == k) & (np.diff(first) > 0)) for k in (0, 1)]
     if min(map(len, pools)) == 0:
         net.slope, net.shift = 0.0, float(np.log(y.mean() / (1 - y.mean())))
         return net
-    adam = _Adam(net.p, s.rate)
+    text_of = np.repeat(np.arange(len(texts)), np.diff(ends))
+    _set_evidence(net, np.array(ids, np.int64), text_of, y, held, word, grams)
+    adam = _Adam(net.p, s)
     for step in range(s.steps):
         n_toxic = s.batch_docs // 3
         docs = np.concatenate([rng.choice(pools[1], n_toxic), rng.choice(pools[0], s.batch_docs - n_toxic)])
@@ -292,8 +305,9 @@ def train(texts: list[str], toxic: list[int], s: Settings | None = None) -> Netw
         compact = np.zeros_like(rows)
         compact[rows > 0] = local + 1
         drop = rng.random(len(used)) < 0.5  # half of the words are known by their characters only
-        vec = net.vectors(word[used], grams[used], scale[used]).astype(np.float32)
-        vec[drop, : s.word_dim] = 0
+        seen = np.where(rng.random((len(used), _GRAMS)) < s.gram_drop, 0, grams[used])
+        vec = net.vectors(word[used], seen, scale[used]).astype(np.float32)
+        vec[drop, 1 : s.word_dim] = 0
         gates = np.concatenate([np.zeros((1, 2, 3 * s.hidden), np.float32), net.project(vec)])
         logit, kept = net.forward(gates, compact, keep=True)
         prob = 1 / (1 + np.exp(-logit.astype(np.float64)))
@@ -311,18 +325,40 @@ def train(texts: list[str], toxic: list[int], s: Settings | None = None) -> Netw
         g["wx"] = (vec.T @ d_gates).reshape(net.p["wx"].shape)
         g["bx"] = d_gates.sum(axis=0).reshape(2, -1)
         d_vec = d_gates @ net.p["wx"].reshape(vec.shape[1], -1).T
-        d_vec[drop, : s.word_dim] = 0
+        d_vec[drop, 1 : s.word_dim] = 0
         g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
         np.add.at(g["word"], word[used], d_vec[:, : s.word_dim])
-        flat = grams[used].reshape(-1)
+        flat = seen.reshape(-1)
         np.add.at(g["char"], flat, np.repeat(d_vec[:, s.word_dim :] * scale[used][:, None], _GRAMS, axis=0))
         g["char"][0] = 0
-        adam.step(g, s.rate * min(1.0, 2.0 * (1 - step / s.steps)) )
+        g["word"][:, 0] = g["char"][:, 0] = 0
+        adam.step(g, s.rate * min(1.0, 2.0 * (1 - step / s.steps)))
         net.p["char"][0] = 0
     _calibrate(net, y, held, word, grams, scale, index, owner)
     return net
 
 
+def _set_evidence(net: Network, ids, text_of, y, held, word, grams) -> None:
+    """Start the first column of both tables at what document counts say, and keep it there.
+
+    It is the z-score of the share of toxic texts that hold a word or n-gram over that of
+    clean ones, one toxic text discounted, so that what a single text holds says nothing.
+    """
+    n1, n0 = max(1, (y[~held] == 1).sum()), max(1, (y[~held] == 0).sum())
+    pairs = np.unique(np.stack([text_of, ids]), axis=1)
+    pairs = pairs[:, ~held[pairs[0]]]
+    for name, rows in (("word", word[:, None]), ("char", grams)):
+        size = len(net.p[name])
+        flat = np.unique((pairs[0][:, None] * size + rows[pairs[1]]).reshape(-1))
+        texts, row = flat // size, flat % size
+        a = np.maximum(np.bincount(row[y[texts] == 1], minlength=size) - 1.0, 0.0)
+        b = np.bincount(row[y[texts] == 0], minlength=size)
+        share = (a + b + 1.0) / (n1 + n0 + 2.0)
+        z = (a / n1 - b / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+        net.p[name][:, 0] = np.clip(z, -3.0, 12.0) / 4.0
+    net.p["char"][0] = 0
+
+
 def _calibrate(net: Network, y, held, word, grams, scale, index, owner) -> None:
     """Logistic fit of the log-odds of texts that did not train (of all, where too few)."""
     gates = np.concatenate([np.zeros((1, 2, 3 * net.s.hidden), np.float32), net.project(net.vectors(word, grams, scale)).astype(np.float32)])
@@ -331,14 +367,14 @@ def _calibrate(net: Network, y, held, word, grams, scale, index, owner) -> None:
     toxic = -np.expm1(np.minimum(log_clean, -1e-9))
     odds = np.log(np.maximum(toxic, 1e-9)) - np.maximum(log_clean, -30.0)
     use = held if min((y[held] == 0).sum(), (y[held] == 1).sum()) >= 5 else np.ones(len(y), bool)
-    x, t = np.stack([odds[use], np.ones(use.sum())], 1), y[use]
-    beta, prior = np.array([1.0, 0.0]), np.array([1.0, 0.0])
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (q - t) + (beta - prior)
-        hess = (x * (q * (1 - q))[:, None]).T @ x + np.eye(2)
-        beta = beta - np.linalg.solve(hess, grad)
-    net.slope, net.shift = float(max(beta[0], 1e-3)), float(beta[1])
+    # A grid over slope and shift, with a weak pull to (1, 0), cannot run away on texts
+    # that separate well.
+    x, t = odds[use][:, None, None], y[use][:, None, None]
+    slope, shift = np.linspace(0.1, 2.0, 39)[:, None], np.linspace(-6.0, 6.0, 97)[None]
+    z = slope * x + shift
+    loss = (np.logaddexp(0.0, z) - t * z).sum(axis=0) + 0.5 * (slope - 1) ** 2 + 0.05 * shift**2
+    i, j = np.unravel_index(np.argmin(loss), loss.shape)
+    net.slope, net.shift = float(slope[i, 0]), float(shift[0, j])
 
 
 # ---- Spark ------------------------------------------------------------------
