@@ -321,14 +321,20 @@ def _open_pairs(ws: Workspace, star: DataFrame, members: DataFrame, comps: DataF
     rows = rows.select("a", "b", "weight", "inter", "excess", F.coalesce("b_comp", "b").alias("comp"), (F.coalesce("b_comp", "b") != F.coalesce("a_comp", "a")).alias("open"))
     live = rows.groupBy("a").agg(F.max("open").alias("any"), F.min("weight").alias("least")).where("any").drop("any")
     rows = ws.stage(rows.join(live, "a"), "live")
-    entries = rows.select("a", "b", "weight", "comp", "open", F.explode("excess").alias("shingle"))
+    rows = rows.withColumn("full", F.size("excess") == F.col("weight") - F.col("inter"))
+    entries = rows.select("a", "b", "weight", "inter", "comp", "open", "full", "excess", F.explode("excess").alias("shingle"))
     mixed = entries.groupBy("a", "shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("a", "shingle")
     entries = ws.stage(entries.join(mixed, ["a", "shingle"], "left_semi"), "excess")
-    other = lambda df: df.withColumnsRenamed({"b": "m", "weight": "m_weight", "comp": "m_comp"})
+    other = lambda df: df.withColumnsRenamed({c: f"m_{c}" for c in ("weight", "inter", "comp", "open", "full", "excess")} | {"b": "m"})
     near = F.least("weight", "m_weight") >= threshold * F.greatest("weight", "m_weight") - 1e-9
     pair = (F.least("b", "m").alias("x"), F.greatest("b", "m").alias("y"))
-    by_excess = entries.where("open").join(other(entries.drop("open")), ["a", "shingle"]).where("comp != m_comp").where(near).select(*pair)
     k = threshold / (1 + threshold)
-    roomy = rows.where("open").withColumn("room", F.col("inter") / k - F.col("weight") + 1e-6).where("room >= least").drop("excess", "least", "open", "inter")
+    # A pair once, at the smallest excess shingle that it shares; and where all excess of
+    # both is known, only if it shares as much as a link needs.
+    both = F.array_intersect("excess", "m_excess")
+    enough = ~(F.col("full") & F.col("m_full")) | (F.size(both) >= k * (F.col("weight") + F.col("m_weight")) - F.least("inter", "m_inter") - 1e-6)
+    once = (F.col("shingle") == F.array_min(both)) & (~F.col("m_open") | (F.col("b") < F.col("m")))
+    by_excess = entries.where("open").join(other(entries), ["a", "shingle"]).where((F.col("comp") != F.col("m_comp")) & near & once & enough).select(*pair)
+    roomy = rows.where("open").withColumn("room", F.col("inter") / k - F.col("weight") + 1e-6).where("room >= least").drop("excess", "least", "open", "inter", "full")
     by_size = roomy.join(other(rows.select("a", "b", "weight", "comp")), "a").where("m_weight <= room AND comp != m_comp").where(near).select(*pair)
     return by_excess.union(by_size).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
