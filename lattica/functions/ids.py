@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Milliseconds since 1970 at which ids start counting; 41, 10 and 12 bits.
 EPOCH_MS = 1_766_000_000_000
@@ -23,7 +24,7 @@ def unpack_id(c: Column) -> tuple[Column, Column, Column]:
     return F.shiftright(c, 22) + EPOCH_MS, F.shiftright(c, 12).bitwiseAND(F.lit(1023)), c.bitwiseAND(F.lit(4095))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def key_id(keys: pd.Series) -> pd.Series:
     """A negative id from a text key: 63 bits of BLAKE2b, which Spark lacks."""
     return keys.map(lambda k: -1 - (int.from_bytes(hashlib.blake2b(k.encode(), digest_size=8).digest(), "big") >> 1), na_action="ignore")
@@ -37,7 +38,7 @@ def sortable_hex(c: Column, kind: str) -> Column:
     return F.lpad(F.hex(F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(F.lit(-(2**63))))), 16, "0")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _double_bits(values: pd.Series) -> pd.Series:
     return pd.Series(values.to_numpy("f8").view("i8"))
 
