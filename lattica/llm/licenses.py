@@ -1,7 +1,7 @@
 """License scans: ordered signature rules over whole texts, in SQL expressions alone.
 
-A rule is a regular expression with a keyword that every match must contain. A text is
-looked at by the rules whose keyword it contains, and only if it contains any. Every
+A rule is a regular expression with a keyword. A text is looked at by the rules whose
+keyword it contains, and only if it contains any. Every
 match is an interval of characters with its rule's priority. In order of start, a
 detection is dropped when one of equal or higher priority before it reaches as far: it
 lies inside that one. What stays gives labels and a score.
@@ -78,6 +78,13 @@ FAMILIES: tuple[tuple[str, str, str, str, str, tuple[str, ...]], ...] = (
     ("ms-rl", "ms-rl", "ms-rl", rf"microsoft{G}reciprocal{G}{L}", "ms-rl", ()),
 )
 
+#: Word that every full name of a family holds, where it is not the short name.
+_NAMED = {
+    "agpl": "affero", "lgpl": "general", "gpl": "general", "gfdl": "documentation", "mpl": "mozilla", "epl": "eclipse", "cddl": "distribution", "cpl": "common",
+    "eupl": "european", "osl": "software", "afl": "academic", "ofl": "font", "psf": "python", "bsl": "boost", "busl": "business", "lppl": "latex", "zpl": "zope",
+    "wtfpl": "public", "ms-pl": "microsoft", "ms-rl": "microsoft",
+}
+
 #: Creative Commons kinds: label, short form, long form.
 CC_KINDS = (
     ("cc-by", "by", "attribution"),
@@ -91,8 +98,8 @@ CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
 #: Phrasings that no family has: label, keyword, pattern, priority, weight.
 OTHERS: tuple[tuple[str, str, str, int, float], ...] = (
-    ("mit", "mit", rf"mit{G}{L}", 3, 0.9),
-    ("mit", "mit", rf"(?:licen[cs]ed|released|distributed|available){G}under{G}(?:the{G})?(?:terms{G}of{G}the{G})?mit{G}{L}", 2, 0.95),
+    ("mit", "licen", rf"mit{G}{L}", 3, 0.9),
+    ("mit", "licen", rf"(?:licen[cs]ed|released|distributed|available){G}under{G}(?:the{G})?(?:terms{G}of{G}the{G})?mit{G}{L}", 2, 0.95),
     ("mit", "spdx", rf"spdx-licen[cs]e-identifier:[ ]?mit{RIGHT}", 1, 1.0),
     ("mit", "permission", rf"permission{G}is{G}hereby{G}granted,{G}free{G}of{G}charge", 2, 0.95),
     ("bsd", "bsd", rf"bsd{G}{L}", 3, 0.8),
@@ -133,7 +140,7 @@ def rules() -> list[Rule]:
         out.append(Rule(f"r{len(out):03d}-{label}", label, keyword, f"{LEFT}{lead}(?:{pattern})", priority, weight))
 
     for label, spdx, short, full, brief, versions in FAMILIES:
-        named = "licen" if "licen" in full and label != "unicode" else short
+        named = _NAMED.get(label, short)
         for v in versions:
             n = v.replace(".", r"\.")
             bare = rf"{n}|{v[:-2]}(?!\.?[0-9])" if v.endswith(".0") else n
@@ -167,6 +174,15 @@ def _quote(text: str) -> str:
 _SPAN = "struct<begin: int, behind: int, priority: int, label: string, weight: double>"
 
 
+#: What else a text must hold for the rules of a keyword that is too common alone.
+_GATES = {"cc": rf"{LEFT}cc{G}by", "public": rf"public{G}(?:domain|{L})", "common": rf"common{G}public", "software": rf"open{G}software"}
+
+
+def _gates(keyword: str, text: str) -> str:
+    cases = " ".join(f"WHEN {_quote(k)} THEN {text} RLIKE {_quote(p)}" for k, p in _GATES.items())
+    return f"(CASE {keyword} {cases} ELSE true END)"
+
+
 def _detections(text: str, found: list[Rule]) -> str:
     """SQL for all intervals in ``text`` of the rules that its keywords let through.
 
@@ -179,7 +195,8 @@ def _detections(text: str, found: list[Rule]) -> str:
     row = lambda r: f"struct({_quote(r.label)}, {_quote(r.pattern)}, {r.priority}, {r.weight}D)"
     table = ", ".join(f"struct({_quote(k)}, array({', '.join(map(row, rs))}))" for k, rs in groups.items())
     table = f"cast(array({table}) as array<struct<keyword: string, rules: array<struct<label: string, pattern: string, priority: int, weight: double>>>>)"
-    opened = f"flatten(transform(filter({table}, g -> contains({text}, g.keyword)), g -> g.rules))"
+    opened = f"flatten(transform(filter({table}, g -> contains({text}, g.keyword) AND {_gates('g.keyword', text)}), g -> g.rules))"
+    opened = f"filter({opened}, r -> {text} RLIKE r.pattern)"
     cut = f"transform({opened}, r -> struct(r, regexp_extract_all({text}, r.pattern, 0) AS hits, split({text}, r.pattern) AS gaps))"
     spans = f"""
         aggregate(sequence(0, size(c.hits) - 1),
@@ -191,7 +208,7 @@ def _detections(text: str, found: list[Rule]) -> str:
                     -(acc.at + length(c.gaps[k]) + length(c.hits[k])) AS behind,
                     c.r.priority AS priority, c.r.label AS label, c.r.weight AS weight)) AS spans),
             acc -> acc.spans)"""
-    return f"array_sort(flatten(transform(filter({cut}, c -> size(c.hits) > 0), c -> {spans})))"
+    return f"array_sort(flatten(transform({cut}, c -> {spans})))"
 
 
 def _resolve(detections: str) -> str:
@@ -226,9 +243,12 @@ def scan_licenses(docs: DataFrame, extra: list[Rule] | None = None, id_col: str
     """
     found = sorted(rules() + (extra or []), key=lambda r: r.priority)
     base = "(?i)(?:" + "|".join(_phrase(p) for p, _ in BASE) + ")"
+    # Phrases are ASCII, so a text without their rarest words in lower case has none.
+    hint = F.expr("(contains(low, 'cc') AND contains(low, 'by')) OR contains(low, 'license') OR contains(low, 'reserved')")
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("raw"))
     words = lambda c: F.regexp_count(c, F.lit(_WORD)).cast("long")
-    rows = raw.withColumns({"n_words": words(F.col("raw")), "n_base": F.regexp_count("raw", F.lit(base)).cast("long"), "low": F.lower("raw")})
+    rows = raw.withColumns({"n_words": words(F.col("raw")), "low": F.lower("raw")})
+    rows = rows.withColumn("n_base", F.when(hint, F.regexp_count("raw", F.lit(base)).cast("long")).otherwise(F.lit(0).cast("long")))
     gaps = F.split("raw", base)
     hits = F.regexp_extract_all("raw", F.lit(base), F.lit(0))
     any_base = F.col("n_base") > 0
