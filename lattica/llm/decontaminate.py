@@ -123,8 +123,9 @@ def _searcher(block):
             ids, texts, out = batch.column(0), as_strings(batch.column(1)), []
             for first, part in chunks(texts):
                 out += [(first + row, item, n, got) for row, item, n, got in block.value.search(part)]
-            at, item, n, got = (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
-            yield pa.record_batch([pc.take(ids, pa.array(at)), pa.array(item), pa.array(n), pa.array(got), pa.array(got / np.maximum(n, 1))], names=["doc_id", "item_id", "n_item_shingles", "n_found", "containment"])
+            at, item, n, got = (pa.array([r[k] for r in out], pa.int64()) for k in range(4))
+            share = pa.array([r[3] / r[2] for r in out], pa.float64())
+            yield pa.record_batch([pc.take(ids, at), item, n, got, share], names=["doc_id", "item_id", "n_item_shingles", "n_found", "containment"])
 
     return run
 

@@ -45,6 +45,8 @@ BLOCK_IDS = 1 << 16
 #: Ids after which a partition starts its next file; one document is never split.
 FILE_IDS = 4 << 20
 END_ID = 1
+#: Stands for a null id in the files.
+NO_ID = -(1 << 63)
 #: Pieces that a worker's cache holds before it starts anew (about 150 bytes each).
 CACHE_WORDS = 600_000
 _MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long"
@@ -193,14 +195,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
     """Encode every whole text into files under ``folder`` (a URI all executors reach).
 
     Returns the manifest: part, seq, file, n_docs, n_tokens; files sort by (part, seq) in
-    ascending doc_id order, null ids first as id -1 would be refused: a null id is an
-    error, since the files store ids as integers. Equal ids are ordered by text. A null
-    text is an empty one: its end id alone. An empty table writes no file. The caller
-    runs the plan once; Spark may repeat a task.
+    ascending doc_id order. A null id is stored as the smallest integer, comes first and
+    is read back as null. Equal ids are ordered by text. A null text is an empty one: its
+    end id alone. An empty table writes no file. Running the plan again, or Spark
+    repeating a task, writes the same files again.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -218,8 +220,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
             return row
 
         for batch in batches:
-            if batch.column(0).null_count:
-                raise ValueError("a document to be written has no id")
             doc_ids = batch.column(0).to_pylist()
             for first, piece in chunks(as_strings(batch.column(1))):
                 for k, raw in enumerate(encoder.encode(piece.to_pylist())):
@@ -256,7 +256,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
                 yield pa.record_batch([pa.array([name] * len(doc_ids)), pa.array(doc_ids), pa.array(ends - counts), pa.array(counts), pa.array(sums, pa.int64())], names=["file", "doc_id", "local", "n_tokens", "ids_crc32"])
 
     spans = files.mapInArrow(run, "file string, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return spans.join(starts, "file").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return spans.join(starts, "file").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def encode_and_read_back(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
