@@ -345,16 +345,15 @@ def _set_evidence(net: Network, ids, text_of, y, held, word, grams) -> None:
     clean ones, one toxic text discounted, so that what a single text holds says nothing.
     """
     n1, n0 = max(1, (y[~held] == 1).sum()), max(1, (y[~held] == 0).sum())
-    pairs = np.unique(np.stack([text_of, ids]), axis=1)
-    pairs = pairs[:, ~held[pairs[0]]]
-    for name, rows in (("word", word[:, None]), ("char", grams)):
-        size = len(net.p[name])
-        flat = np.unique((pairs[0][:, None] * size + rows[pairs[1]]).reshape(-1))
-        texts, row = flat // size, flat % size
-        a = np.maximum(np.bincount(row[y[texts] == 1], minlength=size) - 1.0, 0.0)
-        b = np.bincount(row[y[texts] == 0], minlength=size)
-        share = (a + b + 1.0) / (n1 + n0 + 2.0)
-        z = (a / n1 - b / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    counts = {name: np.zeros((2, len(net.p[name]))) for name in ("word", "char")}
+    for text in np.flatnonzero(~held):
+        seen = np.unique(ids[np.searchsorted(text_of, text) : np.searchsorted(text_of, text, side="right")])
+        for name, rows in (("word", word[seen]), ("char", grams[seen])):
+            counts[name][y[text], np.unique(rows)] += 1
+    for name, (clean, toxic) in counts.items():
+        a = np.maximum(toxic - 1.0, 0.0)
+        share = (a + clean + 1.0) / (n1 + n0 + 2.0)
+        z = (a / n1 - clean / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
         net.p[name][:, 0] = np.clip(z, -3.0, 12.0) / 4.0
     net.p["char"][0] = 0
 
