@@ -373,9 +373,8 @@ def notify_batch(spark, sf):
 @query("SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
 def age_drop(spark, sf):
     events = load(spark, sf, "events")
-    last = events.agg(F.max("ts").alias("last"))
-    joined = events.join(F.broadcast(last))  # one row
-    return changes.drop_stale(joined, "ts", F.col("last"), seconds=172_800).select("event_id", "ts")
+    last = events.agg(F.max("ts")).scalar()
+    return changes.drop_stale(events, "ts", last, seconds=172_800).select("event_id", "ts")
 
 
 @query("SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -424,8 +423,8 @@ def guest_limit(spark, sf):
 @query("SELECT event_id, ts, user_id FROM events WHERE ts <= (SELECT min(ts) + INTERVAL 3 DAY FROM events) ORDER BY ts, event_id LIMIT 10")
 def due_calls(spark, sf):
     events = load(spark, sf, "events").select("event_id", "ts", "user_id")
-    first = events.agg(F.min("ts").alias("first"))
-    return schedule.due(events.join(F.broadcast(first)), F.col("first") + F.expr("INTERVAL 3 DAYS"), at="ts", id_col="event_id", limit=10).drop("first")
+    first = events.agg(F.min("ts")).scalar()
+    return schedule.due(events, first + F.expr("INTERVAL 3 DAYS"), at="ts", id_col="event_id", limit=10)
 
 
 @query("""
@@ -457,8 +456,7 @@ def ensure_calls(spark, sf):
 @query("SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
 def purge_locks(spark, sf):
     events = load(spark, sf, "events").select("event_id", "ts")
-    last = events.agg(F.max("ts").alias("last"))
-    return schedule.purge_locks(events.join(F.broadcast(last)), F.col("last"), called="ts").drop("last")
+    return schedule.purge_locks(events, events.agg(F.max("ts")).scalar(), called="ts")
 
 
 # ---- schema and functions ---------------------------------------------------

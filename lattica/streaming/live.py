@@ -35,16 +35,22 @@ class RangeSubscription:
     """One live range: ``query`` reads the current snapshot, limited and secured.
 
     Row security is part of the query, so a row that becomes visible or hidden is an
-    insert or delete. The last result is bounded by the range's limit.
+    insert or delete. The last result is kept on the driver, so a range of more than
+    ``MAX_ROWS`` rows is refused.
     """
 
+    MAX_ROWS = 10_000
+
     def __init__(self, name: str, query: Callable[[], DataFrame], id_col: str = "id"):
         self.name, self.query, self.id_col = name, query, id_col
         self.last = self._rows()
 
     def _rows(self) -> DataFrame:
         rows = self.query()
-        return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+        found = rows.limit(self.MAX_ROWS + 1).collect()
+        if len(found) > self.MAX_ROWS:
+            raise ValueError(f"a live range holds at most {self.MAX_ROWS} rows")
+        return rows.sparkSession.createDataFrame(found, rows.schema)
 
     def refresh(self) -> DataFrame:
         now = self._rows()
