@@ -7,11 +7,13 @@ read again as the next stage's ``docs``. All but the last return the columns of
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate, mixing, neardup, queries, tokens, toxicity
-from lattica.llm.workspace import Workspace
+from lattica.llm.workspace import Workspace, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +47,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-id files of the mix, and what they hold per document and copy."""
-    return tokens.encode_and_read_back(docs, queries.tokenizer_path())
+    """Token-id files of the mix, which stay in the shared folder, and what they hold per
+    document and copy."""
+    folder = f"{shared_dir(spark)}/lattica/corpus-{uuid.uuid4().hex}"
+    return tokens.encode_and_read_back(docs, queries.tokenizer_path(), folder)
 
 
 STAGES = [

@@ -130,7 +130,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     streams = _streams(ws, ws.stage(sized(docs), "sized"), options)
     last = lambda words: F.max(F.when((F.col("size") > 0) & (2 * F.col(words) >= F.col("size")), F.col("key")))
     limits = streams.groupBy("src").agg(last("first").alias("last_1"), last("second").alias("last_2"), F.max("target").alias("target"), F.max("source_size").alias("source_size"), F.max("tilt").alias("tilt"))
-    limits = Workspace(spark, "mixing-limits").finish(limits)
+    limits = ws.finish(limits)
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_SOURCES else limits
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("row"), source_key(F.col("source")).alias("src"), shuffle_key(F.col("doc_id").cast("long")).alias("key")).join(limits, "src")

@@ -259,10 +259,13 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     return spans.join(starts, "file").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encode_and_read_back(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
-    """Write all documents to a shared folder, then report what its files hold."""
+def encode_and_read_back(docs: DataFrame, tokenizer_path: str, folder: str | None = None, **options) -> DataFrame:
+    """Write all documents to ``folder``, then report what its files hold.
+
+    Without a folder the files are temporary and go once they were read.
+    """
     ws = Workspace(docs.sparkSession, "tokens")
-    folder = ws.path("files")
+    folder = folder or ws.path("files")
     manifest = ws.stage(write_tokens(docs, folder, tokenizer_path, **options), "manifest")
     if manifest.isEmpty():
         return ws.finish(docs.sparkSession.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long"))
