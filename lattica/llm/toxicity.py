@@ -85,12 +85,12 @@ def word_inputs(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray,
     raw = np.array(short, dtype=f"U{_CHARS}").view(np.uint32).reshape(n, _CHARS) if n else codes
     codes[:] = raw
     length = np.array([len(w) for w in short], np.int64)
-    grams = np.zeros((n, _GRAMS), np.int64)
+    grams = np.zeros((n, _GRAMS), np.int32)
     column = 0
 
     def put(h: np.ndarray, kind: int, valid: np.ndarray) -> None:
         nonlocal column
-        grams[:, column] = np.where(valid, 1 + (mix64(h + np.uint64(kind * 7919)) % np.uint64(s.char_rows - 1)).astype(np.int64), 0)
+        grams[:, column] = np.where(valid, 1 + (mix64(h + np.uint64(kind * 7919)) % np.uint64(s.char_rows - 1)).astype(np.int32), 0)
         column += 1
 
     rolling = np.zeros(n, np.uint64)
@@ -120,15 +120,26 @@ def hash_text(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def window_index(ids: np.ndarray, ends: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Word rows of every window (0: padding) and the text of each; ``ids`` count from 1."""
+def window_spans(ends: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window: the place of its first word, where its text ends, and its text."""
     counts = np.diff(ends)
     n = np.where(counts > 0, 1 + np.maximum(0, -(-(counts - s.window) // s.stride)), 0)
     owner = np.repeat(np.arange(len(counts)), n)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    at = (ends[:-1][owner] + nth * s.stride)[:, None] + np.arange(s.window)
-    inside = at < ends[1:][owner][:, None]
-    return np.where(inside, np.append(ids, 0)[np.minimum(at, len(ids))], 0), owner
+    return ends[:-1][owner] + nth * s.stride, ends[1:][owner], owner
+
+
+def window_rows(ids: np.ndarray, start: np.ndarray, stop: np.ndarray, s: Settings) -> np.ndarray:
+    """Word rows of the windows at ``start`` (0: padding); ``ids`` count from 1."""
+    at = start[:, None] + np.arange(s.window)
+    inside = at < stop[:, None]
+    return np.where(inside, ids[np.minimum(at, len(ids) - 1)], 0) if len(ids) else np.zeros(at.shape, np.int64)
+
+
+def window_index(ids: np.ndarray, ends: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Word rows of every window of a few texts, and the text of each."""
+    start, stop, owner = window_spans(ends, s)
+    return window_rows(ids, start, stop, s), owner
 
 
 # ---- network ----------------------------------------------------------------
@@ -273,8 +284,12 @@ def train(texts: list[str], toxic: list[int], s: Settings | None = None) -> Netw
     for t in texts:
         ids += [vocab.setdefault(w, len(vocab)) for w in words_of(t)]
         ends.append(len(ids))
-    word, grams, scale = word_inputs(list(vocab), s)
-    index, owner = window_index(np.array(ids, np.int64) + 1, np.array(ends), s)
+    words = list(vocab)
+    parts = [word_inputs(words[a : a + 4096], s) for a in range(0, max(len(words), 1), 4096)]
+    word, grams, scale = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids, ends = np.array(ids, np.int32), np.array(ends)
+    del vocab, words, parts
+    start, stop, owner = window_spans(ends, s)
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
     # A fifth of the texts calibrates, the rest trains.
     held = rng.permutation(len(y)) < len(y) // 5
@@ -284,8 +299,9 @@ def train(texts: list[str], toxic: list[int], s: Settings | None = None) -> Netw
     if min(map(len, pools)) == 0:
         net.slope, net.shift = 0.0, float(np.log(y.mean() / (1 - y.mean())))
         return net
-    text_of = np.repeat(np.arange(len(texts)), np.diff(ends))
-    _set_evidence(net, np.array(ids, np.int64), text_of, y, held, word, grams)
+    _set_evidence(net, ids, ends, y, held, word, grams)
+    places = ids + 1
+    del ids
     adam = _Adam(net.p, s)
     for step in range(s.steps):
         n_toxic = s.batch_docs // 3
@@ -300,7 +316,7 @@ def train(texts: list[str], toxic: list[int], s: Settings | None = None) -> Netw
             weight.append(np.full(len(own), (b - a) / len(own)))
             group.append(np.full(len(own), k))
         picked, weight, group = np.concatenate(picked), np.concatenate(weight), np.concatenate(group)
-        rows = index[picked]
+        rows = window_rows(places, start[picked], stop[picked], s)
         used, local = np.unique(rows[rows > 0] - 1, return_inverse=True)
         compact = np.zeros_like(rows)
         compact[rows > 0] = local + 1
@@ -334,11 +350,11 @@ def train(texts: list[str], toxic: list[int], s: Settings | None = None) -> Netw
         g["word"][:, 0] = g["char"][:, 0] = 0
         adam.step(g, s.rate * min(1.0, 2.0 * (1 - step / s.steps)))
         net.p["char"][0] = 0
-    _calibrate(net, y, held, word, grams, scale, index, owner)
+    _calibrate(net, y, held, word, grams, scale, places, (start, stop, owner))
     return net
 
 
-def _set_evidence(net: Network, ids, text_of, y, held, word, grams) -> None:
+def _set_evidence(net: Network, ids, ends, y, held, word, grams) -> None:
     """Start the first column of both tables at what document counts say, and keep it there.
 
     It is the z-score of the share of toxic texts that hold a word or n-gram over that of
@@ -347,7 +363,7 @@ def _set_evidence(net: Network, ids, text_of, y, held, word, grams) -> None:
     n1, n0 = max(1, (y[~held] == 1).sum()), max(1, (y[~held] == 0).sum())
     counts = {name: np.zeros((2, len(net.p[name]))) for name in ("word", "char")}
     for text in np.flatnonzero(~held):
-        seen = np.unique(ids[np.searchsorted(text_of, text) : np.searchsorted(text_of, text, side="right")])
+        seen = np.unique(ids[ends[text] : ends[text + 1]])
         for name, rows in (("word", word[seen]), ("char", grams[seen])):
             counts[name][y[text], np.unique(rows)] += 1
     for name, (clean, toxic) in counts.items():
@@ -358,10 +374,15 @@ def _set_evidence(net: Network, ids, text_of, y, held, word, grams) -> None:
     net.p["char"][0] = 0
 
 
-def _calibrate(net: Network, y, held, word, grams, scale, index, owner) -> None:
+def _calibrate(net: Network, y, held, word, grams, scale, places, spans) -> None:
     """Logistic fit of the log-odds of texts that did not train (of all, where too few)."""
-    gates = np.concatenate([np.zeros((1, 2, 3 * net.s.hidden), np.float32), net.project(net.vectors(word, grams, scale)).astype(np.float32)])
-    logit = np.concatenate([net.forward(gates, index[a : a + 2048]) for a in range(0, len(index), 2048)]) if len(index) else np.zeros(0)
+    start, stop, owner = spans
+    gates = np.zeros((len(word) + 1, 2, 3 * net.s.hidden), np.float32)
+    for a in range(0, len(word), 4096):
+        gates[a + 1 : a + 4097] = net.project(net.vectors(word[a : a + 4096], grams[a : a + 4096], scale[a : a + 4096]))
+    logit = np.zeros(len(owner), np.float32)
+    for a in range(0, len(owner), 1024):
+        logit[a : a + 1024] = net.forward(gates, window_rows(places, start[a : a + 1024], stop[a : a + 1024], net.s))
     log_clean = np.bincount(owner, log_complement(logit), len(y))
     toxic = -np.expm1(np.minimum(log_clean, -1e-9))
     odds = np.log(np.maximum(toxic, 1e-9)) - np.maximum(log_clean, -30.0)
@@ -434,10 +455,10 @@ class _Scorer(dict):
             self.pending = []
         log_clean = np.zeros(len(texts))
         # Few texts at a time, so that the windows of a very long one are cut up too.
-        index, owner = window_index(ids, ends, self.net.s)
-        for a in range(0, len(index), 1024):
-            part = self.net.forward(self.gates, index[a : a + 1024])
-            log_clean += np.bincount(owner[a : a + 1024], log_complement(part), len(texts))
+        start, stop, owner = window_spans(ends, self.net.s)
+        for a in range(0, len(owner), 1024):
+            rows = window_rows(ids, start[a : a + 1024], stop[a : a + 1024], self.net.s)
+            log_clean += np.bincount(owner[a : a + 1024], log_complement(self.net.forward(self.gates, rows)), len(texts))
         return self.net.calibrated(log_clean)
 
 
