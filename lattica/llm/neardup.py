@@ -43,7 +43,7 @@ from lattica.llm.workspace import Workspace
 
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
-_BYTES = 4 << 20
+_BYTES = 1 << 20
 _KEY_BITS = np.uint64(50)
 _GOLDEN = 0x9E3779B97F4A7C15
 

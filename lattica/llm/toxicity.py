@@ -433,7 +433,8 @@ class _Scorer(dict):
     def reset(self) -> None:
         self.clear()
         self.pending: list[str] = []
-        self.gates = np.zeros((1 << 12, 2, 3 * self.net.s.hidden), np.float32)
+        # Zeros take no memory until written, so room for all words spares growing copies.
+        self.gates = np.zeros((self.LIMIT + (1 << 16), 2, 3 * self.net.s.hidden), np.float32)
 
     def __missing__(self, word: str) -> int:
         self[word] = row = len(self) + 1
