@@ -1,7 +1,7 @@
 """License scans: ordered signature rules over whole texts, in SQL expressions alone.
 
-A rule is a regular expression with a keyword. A text is looked at by the rules whose
-keyword it contains, and only if it contains any. Every
+A rule is a regular expression with a keyword that every match must contain. A text is
+looked at by the rules whose keyword it contains, and only if it contains any. Every
 match is an interval of characters with its rule's priority. In order of start, a
 detection is dropped when one of equal or higher priority before it reaches as far: it
 lies inside that one. What stays gives labels and a score.
@@ -119,11 +119,11 @@ OTHERS: tuple[tuple[str, str, str, int, float], ...] = (
     ("reserved", "reserved", rf"(?:some|no){G}rights{G}reserved", 3, 0.6),
     ("proprietary", "proprietary", rf"proprietary{G}and{G}confidential|confidential{G}and{G}proprietary", 2, 0.95),
     ("proprietary", "proprietary", rf"proprietary{G}(?:software|{L}|information)", 3, 0.7),
-    ("proprietary", "reproduc", rf"(?:may|must){G}not{G}be{G}(?:copied|reproduced|distributed){G}\w+", 4, 0.5),
+    ("proprietary", "not", rf"(?:may|must){G}not{G}be{G}(?:copied|reproduced|distributed){G}\w+", 4, 0.5),
     ("commercial", "commercial", rf"commercial{G}{L}", 3, 0.6),
     ("non-commercial", "commercial", rf"non{G}?commercial{G}(?:use|purposes?){G}only", 2, 0.8),
-    ("unknown-license", "licen", rf"(?:licen[cs]ed|released|distributed){G}under{G}(?:the{G})?(?:terms{G}of{G}(?:the{G})?)?[a-z0-9.-]+", 4, 0.4),
-    ("unknown-license", "licen", rf"see{G}(?:the{G})?(?:file{G})?(?:{L}|copying){G}(?:file{G})?for{G}(?:more{G})?(?:details|terms|information)", 4, 0.4),
+    ("unknown-license", "under", rf"(?:licen[cs]ed|released|distributed){G}under{G}(?:the{G})?(?:terms{G}of{G}(?:the{G})?)?[a-z0-9.-]+", 4, 0.4),
+    ("unknown-license", "see", rf"see{G}(?:the{G})?(?:file{G})?(?:{L}|copying){G}(?:file{G})?for{G}(?:more{G})?(?:details|terms|information)", 4, 0.4),
 )
 
 
@@ -174,8 +174,11 @@ def _quote(text: str) -> str:
 _SPAN = "struct<begin: int, behind: int, priority: int, label: string, weight: double>"
 
 
-#: What else a text must hold for the rules of a keyword that is too common alone.
-_GATES = {"cc": rf"{LEFT}cc{G}by", "public": rf"public{G}(?:domain|{L})", "common": rf"common{G}public", "software": rf"open{G}software"}
+#: What else every match holds for the rules of a keyword that is too common alone.
+_GATES = {
+    "cc": rf"{LEFT}cc{G}by", "public": rf"public{G}(?:domain|{L})", "common": rf"common{G}public", "software": rf"open{G}software",
+    "not": rf"not{G}be{G}(?:copied|reproduced|distributed)", "under": rf"ed{G}under", "see": rf"see{G}(?:the{G})?(?:file{G})?(?:{L}|copying)",
+}
 
 
 def _gates(keyword: str, text: str) -> str:
@@ -254,7 +257,8 @@ def scan_licenses(docs: DataFrame, extra: list[Rule] | None = None, id_col: str
     any_base = F.col("n_base") > 0
     is_phrase = lambda p: F.col("raw").rlike("(?i)" + _phrase(p))
     base_labels = F.array_compact(F.array(*[F.when(any_base & is_phrase(p), F.lit(label)) for p, label in BASE]))
-    gate = F.expr(" OR ".join(f"contains(low, {_quote(k)})" for k in sorted({r.keyword for r in found})))
+    opens = lambda k: f"contains(low, {_quote(k)})" + (f" AND low RLIKE {_quote(_GATES[k])}" if k in _GATES else "")
+    gate = F.expr(" OR ".join(f"({opens(k)})" for k in sorted({r.keyword for r in found}, key=lambda k: (k in _GATES, k))))
     rows = rows.withColumns({
         "first_word": F.when(any_base, words(gaps[0])),
         "last_word": F.when(any_base, F.col("n_words") - words(F.element_at(gaps, -1)) - words(F.element_at(hits, -1))),

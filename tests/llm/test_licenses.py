@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -85,3 +86,64 @@ def test_query_against_brute_force(spark):
 def test_native(spark):
     plan = X.scan_licenses(awkward(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def example(rng, parsed):
+    """A random string that the parsed pattern matches; what stands around it is not asked."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            kind = arg[0][0]
+            simple = [chr(v) if str(o) == "LITERAL" else chr(rng.randint(*v)) for o, v in arg if str(o) in ("LITERAL", "RANGE")]
+            out += rng.choice(" -,\n") if str(kind) == "NEGATE" else rng.choice(simple or ["w"])
+        elif op == "BRANCH":
+            out += example(rng, rng.choice(arg[1]))
+        elif op == "SUBPATTERN":
+            out += example(rng, arg[3])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(example(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+        else:
+            assert op == "ASSERT_NOT", op
+    return out
+
+
+def test_keywords_and_gates_are_implied():
+    rng = random.Random(1)
+    for r in X.rules():
+        parsed = re._parser.parse(r.pattern)
+        for _ in range(30):
+            text = example(rng, parsed)
+            if re.search(r.pattern, text):
+                assert r.keyword in text and re.search(X._GATES.get(r.keyword, ""), text), (r, text)
+
+
+def test_no_keyword_hides_a_match(spark):
+    texts = {
+        "It may not be copied without permission.": "proprietary",
+        "Must not be distributed to anyone.": "proprietary",
+        "may not be reproduced in part": "proprietary",
+        "Released under Foo-1.0": "unknown-license",
+        "distributed under the terms of the foo": "unknown-license",
+        "See COPYING for details.": "unknown-license",
+        "see the file copying for more information": "unknown-license",
+        "It may not be seen, under no rule": "",
+    }
+    for text in texts:
+        found = sorted((m.start(), -m.end(), r.priority, r.label) for r in X.rules() for m in re.finditer(r.pattern, text.lower()))
+        assert {d[3] for d in found} == set(filter(None, [texts[text]])), text
+    got = X.scan_licenses(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert [(r.labels, r.score) for r in sorted(got, key=lambda r: r.doc_id)] == [(w, {"": 0.0, "proprietary": 0.5, "unknown-license": 0.4}[w]) for w in texts.values()]
+
+
+def test_query_against_every_regex(spark):
+    """As the brute force above, with no keyword and no gate at all."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op6_licenses(spark, sf).collect():
+        low = (texts[r.doc_id] or "").lower()
+        found = sorted((m.start(), -m.end(), p.priority, p.label) for p in X.rules() for m in re.finditer(p.pattern, low))
+        stay = {d[3] for i, d in enumerate(found) if not any(e[2] <= d[2] and e[1] <= d[1] for e in found[:i])}
+        assert r.labels == ",".join(sorted(stay | set(filter(None, r.base_labels.split(",")))))
