@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -24,15 +25,21 @@ from lattica.llm.text import as_strings
 
 _TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*)                                               # comment
-      | <(script|style|noscript|template|svg|iframe|textarea|select|title|head|button|option|object)\b
-            (?:[^>"']|"[^"]*"|'[^']*')*+>(?:.*?</\1\s*>|.*)              # no text of the page
-      | <(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>     # tag
+      | <(script|style|textarea|title)(?![\w:.-])                         # raw text, unless the tag closes itself
+            (?!(?:=\s*[^\s"'>]+|[^>"'/=]|/(?!>)|=|"[^"]*"|'[^']*')*+/>)
+            (?:[^>"']|"[^"]*"|'[^']*')*+>(?:.*?</\1(?=[\s/>])[^>]*>|.*)
+      | <(/?)([a-zA-Z][\w:.-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>           # tag
       | <[!?][^>]*>                                                     # declaration
       | <[/a-zA-Z!?][^>]*(?:>|\Z)                                       # broken tag
       | ([^<]+|<)                                                       # text
     """,
     re.S | re.X | re.I,
 )
+#: Elements whose content is no text of the page.
+_HIDDEN = frozenset("noscript template svg iframe select button option object".split())
+_ANY_HIDDEN = re.compile(rf"<(?:{'|'.join(sorted(_HIDDEN))})(?![\w:.-])", re.I)
+_SELF_CLOSED = re.compile(r"""(?:=\s*[^\s"']+|[^"'/=]|/(?!\Z)|=|"[^"]*"|'[^']*')*+/\Z""")
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BREAKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _KEPT_OPEN = frozenset("address article aside blockquote body details dialog div dl fieldset figure footer form header li main menu nav ol section span table td ul".split())
 _FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
@@ -53,9 +60,48 @@ class Block(NamedTuple):
     article: int
 
 
+def _hidden_spans(page: str) -> dict[int, int]:
+    """Start and end of the hidden elements whose end tag comes before that of their parent."""
+    spans: dict[int, int] = {}
+    if not _ANY_HIDDEN.search(page):
+        return spans
+    stack: list[tuple[str, int]] = []
+    is_open: Counter[str] = Counter()
+
+    def pop(name: str) -> int:
+        while True:
+            last, start = stack.pop()
+            is_open[last] -= 1
+            if last == name:
+                return start
+
+    for m in _TOKEN.finditer(page):
+        if m[3] is None or (name := m[3].lower()) in _VOID:
+            continue
+        if m[2]:
+            if is_open[name]:
+                start = pop(name)
+                if name in _HIDDEN:
+                    spans[start] = m.end()
+        elif not _SELF_CLOSED.match(m[4]):
+            if name in ("button", "option", "select") and is_open[name]:
+                pop(name)
+            stack.append((name, m.start()))
+            is_open[name] += 1
+    return spans
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order."""
+    """The text blocks of a page in order.
+
+    A hidden element without its end tag ends at the next block-level tag, at a line
+    break or with its parent.
+    """
     out: list[Block] = []
+    spans = _hidden_spans(page)
+    skip_to = 0
+    # Elements open within a hidden one that lacks its end tag
+    loose: int | None = None
     pieces: list[str] = []
     linked = 0
     # name, furniture, telling class, article: each open element adds to what is around it
@@ -72,7 +118,11 @@ def blocks_of(page: str) -> list[Block]:
         linked = 0
 
     for m in _TOKEN.finditer(page):
+        if m.start() < skip_to:
+            continue
         if (text := m[5]) is not None:
+            if loose is not None:
+                continue
             pieces.append(text)
             if in_link:
                 linked += len(_WORDS.findall(text))
@@ -81,6 +131,21 @@ def blocks_of(page: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if name in _HIDDEN and not m[2]:
+            if m.start() in spans:
+                skip_to = spans[m.start()]
+            elif loose is None and not _SELF_CLOSED.match(m[4]):
+                loose = 0
+            continue
+        if loose is not None:
+            if name in _BREAKS or name == "br":
+                loose = None
+            elif m[2]:
+                loose = loose - 1 if loose else None
+            elif name not in _VOID and not _SELF_CLOSED.match(m[4]):
+                loose += 1
+            if loose is not None:
+                continue
         if name == "a":
             in_link = not m[2]
         elif name == "br":
@@ -202,7 +267,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """One row per row of ``pages``: page_id, url, text, n_chars (code points).
 
     A null or empty page, and one without main text, has the empty text. Unclosed
-    comments, scripts and tags run to the end of the page. Ids and urls pass through,
+    comments, scripts, styles, titles, text areas and tags run to the end of the page. Ids and urls pass through,
     null or repeated; other columns are ignored.
     """
     tree = trained_tree()

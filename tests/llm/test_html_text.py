@@ -58,3 +58,17 @@ def test_rows(spark):
     assert sorted((r.page_id or 0, r.url or "", r.n_chars) for r in out) == [(0, "v", 0), (1, "u", len(X.main_text(PAGE))), (1, "u", len(X.main_text(PAGE))), (2, "", 0)]
     assert X.extract_text(df.where("false")).count() == 0
     assert awkward(spark).count() > 0
+
+
+def test_missing_end_tags():
+    words = "These are the words of an article that nobody should lose."
+    article = f"<article><p>{words}</p></article>"
+    for start in (
+        "<head><title>T</title><body>", "<head><title>T</title>", "<svg/>", "<iframe src='x' />", "<object/>", "<script src='x'/>", "<button>Send", "<noscript>", "<svg><g>", "<p><button>Send</p>",
+        "<select><option>A<option>B", "<datalist><option>A<option>B</datalist>", "<b><svg></b>", "<button-group>", "<option-list>", "<svg_icon>", "<title-bar>",
+        "<button>A<button>B</button>", "<script src=/a/>no();</script>", "<noscript><p>no</p></noscript>", "<template><div>no</div></template>", "<select><option>no</select>", "<button><div>no</div></button>",
+    ):
+        for page in (start + article, f"<div>{start}</div>{article}", f"{start}{article}<svg><title>x</title></svg><button>y</button>"):
+            assert X.main_text(page) == words, page
+    assert X.main_text(f"<article><p>{words} <button>Send<p>{words}<b><object></b> {words}<script>no</article>") == f"{words} {words} {words}"
+    assert X.main_text(f"<article><p>{words} <button><div>Send</div></button> {words}</article>") == f"{words} {words}"
