@@ -28,12 +28,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate class the document with the smallest id stays.
 
-    Only ids to be dropped are joined. A class of null ids only stays whole; rows that
-    repeat a kept id stay.
+    Only rows to be dropped are joined, by id and text: of rows that share an id each
+    goes or stays with its own class. A class of null ids only stays whole; rows that
+    repeat a kept id in its class stay; a null id never beats another.
     """
-    drop = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__dropped"))
-    kept = docs.join(drop.distinct(), F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
-    return kept.select(*docs.columns)
+    rows = neardup.near_duplicates(docs, with_hash=True).groupBy("doc_id", "text_hash").agg(F.bool_or("kept").alias("kept"))
+    drop = rows.where("not kept").select(F.col("doc_id").alias("__dropped"), F.col("text_hash").alias("__hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__dropped")) & (neardup.hash_of_text() == F.col("__hash"))
+    return docs.join(drop, same, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

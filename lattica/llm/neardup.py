@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.text import as_strings, chunks, mix64, shingle_hashes, word_hashes
@@ -212,7 +212,12 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hash_of_text(text_col: str = "text") -> Column:
+    """The 64-bit hash that tells rows of one id apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size, kept.
 
     Two documents are linked when the multisets of their five-word shingles have a
@@ -221,12 +226,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     null id never beats another; a class of null ids only keeps them all, and rows that
     repeat the kept id are all kept). A text of fewer than five words is one shingle of
     all its words; texts without a word, null among them, are one class. Other columns
-    are ignored whatever their names.
+    are ignored whatever their names. ``with_hash`` adds text_hash, as :func:`hash_of_text`.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "neardup")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), hash_of_text(text_col).alias("text_hash"), text.alias("text"))
     signed = ws.stage(source.mapInArrow(_signatures(bands, rows), "doc_id long, text_hash long, cls binary, weight long, buckets array<long>"), "signed")
 
     # One class for each multiset; its text is that of its first row.
@@ -252,9 +257,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     comps = _joined(ws, comps, star.where("linked").select("a", "b"))
     comps = _joined(ws, comps, verified(ws.stage(_open_pairs(ws, star, members, comps, threshold), "open")))
 
-    labelled = signed.select("doc_id", "cls").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", F.coalesce("comp", "cls").alias("comp"))
+    own = ["doc_id", "text_hash"] if with_hash else ["doc_id"]
+    labelled = signed.select(*own, "cls").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select(*own, F.coalesce("comp", "cls").alias("comp"))
     sizes = labelled.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return ws.finish(labelled.join(sizes, "comp").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))
+    return ws.finish(labelled.join(sizes, "comp").select(*own, "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))
 
 
 def _joined(ws: Workspace, comps: DataFrame | None, links: DataFrame) -> DataFrame:

@@ -44,3 +44,11 @@ def test_near_duplicates_of_nulls(spark):
     kept = P.keep_one_of_each_class(spark, docs, SF)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 2, 6, 7, 8, None], key=repr)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id with different texts go by their own class; null ids go too."""
+    a, b, c = ("one two three four five six", "alpha beta gamma delta epsilon zeta", "a text that only one row has")
+    rows = [(5, a), (7, a), (3, b), (5, b), (9, c), (None, c), (None, "null ids"), (None, "null ids"), (8, None), (None, "")]
+    kept = P.keep_one_of_each_class(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(5, a), (3, b), (9, c), (None, "null ids"), (None, "null ids"), (8, None)], key=repr)
