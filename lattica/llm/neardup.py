@@ -23,9 +23,14 @@ most buckets, and all its members are compared with the pivot ``c``. Were an ope
 they share a shingle in excess of ``c``, unless ``k (|u| + |m|) <= |u & c|``, which the sizes
 alone tell. Of an open member the ``(1 - t) |u| + 1`` smallest such shingles suffice (prefix
 filter). If most linked members share an excess, the pivot itself is a copy with edits, and
-the linked member with most of that excess takes its place. Candidates are pairs of a pivot's members that share one of those, and are
-verified. No bucket pair that could join two components is lost, and families of copies
-do not emit their pairs.
+the linked member with most of that excess takes its place.
+
+Candidates are pairs of a pivot's members that share such a shingle. One minus the
+similarity is a metric, so their distances to the pivot must differ by no more than
+``1 - t``; the places of the shared shingle in both sorted lists bound what they can share;
+and where all excess of both is known, the number of shared ones must suffice. What is
+left is verified. No bucket pair that could join two components is lost, and families of
+copies do not emit their pairs.
 """
 
 from __future__ import annotations
@@ -45,6 +50,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 _BYTES = 1 << 20
 _KEY_BITS = np.uint64(50)
+#: Texts of one vectorised step: their index takes the other 14 bits of a composite key.
+_TEXTS = 1 << 14
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -58,6 +65,8 @@ def _unit(h: np.ndarray) -> np.ndarray:
 
 def multisets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of all texts: composite key (text index, 50-bit shingle), count, text index."""
+    if len(texts) > _TEXTS:
+        raise ValueError(f"{len(texts)} texts in a step, more than {_TEXTS}")
     grams, offsets = shingle_hashes(*word_hashes(texts))
     owner = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(offsets))
     keys = np.sort((owner << _KEY_BITS) | (grams >> (np.uint64(64) - _KEY_BITS)))
@@ -101,9 +110,11 @@ def bag_minhash(shingles: np.ndarray, weights: np.ndarray, owner: np.ndarray, n:
 
 
 def _signatures(bands: int, rows: int):
+    """Of (doc_id, text_hash, rid, text): the first three, a digest of the multiset, its weight and buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in chunks(as_strings(batch.column(2)), _BYTES):
+            for first, part in chunks(as_strings(batch.column(3)), _BYTES, _TEXTS):
                 n = len(part)
                 keys, counts, owner = multisets(part)
                 sig = bag_minhash(keys, counts, owner, n, bands * rows)
@@ -113,15 +124,14 @@ def _signatures(bands: int, rows: int):
                 buckets = mix64(buckets + np.arange(bands, dtype=np.uint64)).view(np.int64)
                 weight = np.bincount(owner, counts, n).astype(np.int64)
                 entry = mix64((keys & ((np.uint64(1) << _KEY_BITS) - np.uint64(1))) * np.uint64(_GOLDEN) + counts.astype(np.uint64))
-                digest = np.zeros((n, 2), np.uint64)
-                np.add.at(digest[:, 0], owner, entry)
-                np.add.at(digest[:, 1], owner, mix64(entry + _seed(7)))
+                digest = np.zeros((2, n), np.uint64)
+                np.add.at(digest[0], owner, entry)
+                np.add.at(digest[1], owner, mix64(entry + _seed(7)))
                 full = weight > 0
                 offsets = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))])
-                names = ["doc_id", "text_hash", "cls", "weight", "buckets"]
-                cls = pa.array([d.tobytes() for d in digest], pa.binary())
+                names = ["doc_id", "text_hash", "rid", "digest_1", "digest_2", "weight", "buckets"]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(buckets[full].reshape(-1)))
-                yield pa.record_batch([batch.column(0).slice(first, n), batch.column(1).slice(first, n), cls, pa.array(weight), lists], names=names)
+                yield pa.record_batch([*(batch.column(k).slice(first, n) for k in range(3)), *map(pa.array, digest.view(np.int64)), pa.array(weight), lists], names=names)
 
     return run
 
@@ -151,13 +161,13 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Array, pa.Arra
     ends = np.cumsum((pc.binary_length(left).to_numpy() + pc.binary_length(right).to_numpy()).astype(np.int64))
     at = 0
     while at < batch.num_rows:
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BYTES, side="right")))
+        stop = min(at + _TEXTS, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BYTES, side="right"))))
         yield at, stop, left.slice(at, stop - at), right.slice(at, stop - at)
         at = stop
 
 
 def _star_verifier(threshold: float):
-    """Of (a, b, texts): a, b, inter, linked, and b's excess over a."""
+    """Of (a, b, texts): a, b, inter, their distance, linked, and b's excess over a in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +183,7 @@ def _star_verifier(threshold: float):
                 keep = rank < limit[owner]
                 lengths = np.bincount(owner[keep], minlength=n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(excess[keep].view(np.int64)))
-                yield pa.record_batch([batch.column("a").slice(at, n), batch.column("b").slice(at, n), pa.array(shared), pa.array(linked), lists], names=["a", "b", "inter", "linked", "excess"])
+                yield pa.record_batch([batch.column("a").slice(at, n), batch.column("b").slice(at, n), pa.array(shared), pa.array(1 - shared / np.maximum(total, 1)), pa.array(linked), lists], names=["a", "b", "inter", "far", "linked", "excess"])
 
     return run
 
@@ -191,25 +201,37 @@ def _verifier(threshold: float):
 
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node of each connected component, for nodes with an edge.
+    """(node, comp) of every node with an edge; ``comp`` is one of the component's nodes.
 
-    Large-star and small-star steps in turn, each two joins of small rows, until the
-    edges no longer change; their number grows with the logarithm of the graph.
+    Each node points at its least neighbour if that is less than itself, pointers are
+    doubled until all end at a root, and edges between roots are what is left to do. A
+    star takes one round, and the edges of any graph at least halve their roots.
     """
-    edges, mark = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), None
+    labels = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).union(small.select("a", F.col("low").alias("b"))).where("a != b").distinct()
-        edges = ws.stage(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
-            break
-        mark = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
+        roots = ws.stage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "parents")
+        moved = 1
+        while moved:
+            jump = roots.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            twice = roots.join(jump, "p").select("a", F.col("q").alias("p"))
+            jump = twice.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            roots, moved = ws.counted(twice.join(jump, "p").select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "roots", F.col("moved"))
+            roots = roots.drop("moved")
+        if labels is None:
+            labels = roots.select(F.col("a").alias("node"), F.col("p").alias("comp"))
+        else:
+            labels = labels.join(roots.select(F.col("a").alias("comp"), "p"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp"))
+        edges, n = ws.counted(_relabelled(edges, roots.select(F.col("a").alias("node"), F.col("p").alias("comp"))), "edges")
+        if not n:
+            return labels
+
+
+def _relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct edges between different components; nodes without a label are their own."""
+    of = lambda key: labels.select(F.col("node").alias(key), F.col("comp").alias(f"{key}_comp"))
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    return ends.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def hash_of_text(text_col: str = "text") -> Column:
@@ -231,58 +253,71 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     spark = docs.sparkSession
     ws = Workspace(spark, "neardup")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), hash_of_text(text_col).alias("text_hash"), text.alias("text"))
-    signed = ws.stage(source.mapInArrow(_signatures(bands, rows), "doc_id long, text_hash long, cls binary, weight long, buckets array<long>"), "signed")
-
-    # One class for each multiset; its text is that of its first row.
-    row = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row")
-    classes = ws.stage(signed.groupBy("cls").agg(row, F.first("weight").alias("weight"), F.first("buckets").alias("buckets")), "classes")
-    entries = ws.stage(_entries(ws, classes), "entries")
-    texts = ws.stage(_candidate_texts(source, classes, entries), "texts")
-    leaders = entries.where("cls != leader").select(F.col("leader").alias("a"), F.col("cls").alias("b"), "weight", "leader_weight")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), hash_of_text(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("rid"), text.alias("text"))
+    signed = ws.stage(source.mapInArrow(_signatures(bands, rows), "doc_id long, text_hash long, rid long, digest_1 long, digest_2 long, weight long, buckets array<long>"), "signed")
+
+    # One class for each multiset; its number is that of the row whose text stands for it.
+    digest = ["digest_1", "digest_2"]
+    classes = ws.stage(signed.groupBy(*digest).agg(F.min("rid").alias("cls")), "classes")
+    entries, n = ws.counted(_entries(ws, signed, classes), "entries")
+    comps = _linked_components(ws, source, signed, entries, threshold) if n else None
+
+    own = ["doc_id", "text_hash"] if with_hash else ["doc_id"]
+    labelled = signed.select(*own, *digest).join(classes, digest)
+    if comps is not None:
+        labelled = labelled.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("cls", F.coalesce("comp", "cls"))
+    sizes = labelled.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return ws.finish(labelled.select(*own, "cls").join(sizes, "cls").select(*own, "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))
+
+
+def _linked_components(ws: Workspace, source: DataFrame, signed: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """(node, comp) of the classes that are linked to another."""
+    texts = ws.stage(_candidate_texts(source, signed, entries), "texts")
     near = F.least("weight", "leader_weight") >= threshold * F.greatest("weight", "leader_weight") - 1e-9
-    verified = lambda pairs: ws.stage(_with_texts(pairs, texts).mapInArrow(_verifier(threshold), "a binary, b binary"), "links")
-    links = verified(leaders.where(near).select("a", "b").distinct())
-    comps = _joined(ws, None, links)
-    members = ws.stage(_pivots(entries, comps), "members")
-    measured = lambda pairs: ws.stage(_with_texts(pairs.select("a", "b"), texts).mapInArrow(_star_verifier(threshold), "a binary, b binary, inter long, linked boolean, excess array<long>"), "stars")
+    pairs = entries.where("cls != leader").where(near).select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
+    verified = lambda pairs: ws.stage(_with_texts(pairs, texts).mapInArrow(_verifier(threshold), "a long, b long"), "links")
+    comps = components(ws, verified(pairs))
+    members, n = ws.counted(_pivots(entries, comps), "members")
+    if not n:
+        return comps
+    measured = lambda pairs: ws.stage(_with_texts(pairs.select("a", "b"), texts).mapInArrow(_star_verifier(threshold), "a long, b long, inter long, far double, linked boolean, excess array<long>"), "stars")
     star = measured(members)
-    better = ws.stage(_better_pivots(star), "better")
-    if not better.isEmpty():
+    better, n = ws.counted(_better_pivots(star), "better")
+    if n:
         moved = members.join(better, "a")
         moved = moved.select(F.col("pivot").alias("a"), "b", "weight", F.lit(0).cast("long").alias("a_weight")).union(moved.select(F.col("pivot").alias("a"), F.col("a").alias("b"), F.col("a_weight").alias("weight"), F.lit(0).cast("long")))
         moved = ws.stage(moved.where("a != b").distinct(), "moved")
         star = star.join(better, "a", "left_anti").union(measured(moved))
         members = members.join(better, "a", "left_anti").union(moved)
     comps = _joined(ws, comps, star.where("linked").select("a", "b"))
-    comps = _joined(ws, comps, verified(ws.stage(_open_pairs(ws, star, members, comps, threshold), "open")))
+    pairs, n = ws.counted(_open_pairs(ws, star, members, comps, threshold), "open")
+    return _joined(ws, comps, verified(pairs)) if n else comps
 
-    own = ["doc_id", "text_hash"] if with_hash else ["doc_id"]
-    labelled = signed.select(*own, "cls").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select(*own, F.coalesce("comp", "cls").alias("comp"))
-    sizes = labelled.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return ws.finish(labelled.join(sizes, "comp").select(*own, "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))
 
-
-def _joined(ws: Workspace, comps: DataFrame | None, links: DataFrame) -> DataFrame:
+def _joined(ws: Workspace, comps: DataFrame, links: DataFrame) -> DataFrame:
     """Components of the links and of what ``comps`` already joins."""
-    if comps is not None:
-        if links.isEmpty():
-            return comps
-        links = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links)
-    return ws.stage(components(ws, links), "components")
+    between, n = ws.counted(_relabelled(links, comps), "between")
+    if not n:
+        return comps
+    above = components(ws, between)
+    alone = above.join(comps.select(F.col("comp").alias("node")), "node", "left_anti").select("node", F.col("node").alias("comp"))
+    every = comps.union(alone).join(above.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left")
+    return ws.stage(every.select("node", F.coalesce("root", "comp").alias("comp")), "components")
 
 
-def _entries(ws: Workspace, classes: DataFrame) -> DataFrame:
+def _entries(ws: Workspace, signed: DataFrame, classes: DataFrame) -> DataFrame:
     """(bucket, cls, weight, density, leader, leader_weight) of every class in a shared bucket.
 
-    ``density`` counts the members of all its buckets; the leader has most.
+    ``density`` counts the members of all its buckets; the leader has most. Of equal ones
+    both aggregates take the same row.
     """
-    rows = classes.select("cls", "weight", F.explode("buckets").alias("bucket"))
+    one_each = signed.join(classes.select(F.col("cls").alias("rid")), "rid", "left_semi")
+    rows = ws.stage(one_each.select(F.col("rid").alias("cls"), "weight", F.explode("buckets").alias("bucket")), "buckets")
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = ws.stage(rows.join(shared, "bucket"), "rows")
     rows = rows.join(rows.groupBy("cls").agg(F.sum("n").alias("density")), "cls")
-    leaders = rows.groupBy("bucket").agg(F.max(F.struct("density", "cls", "weight")).alias("l"))
-    return rows.join(leaders, "bucket").select("bucket", "cls", "weight", "density", F.col("l.cls").alias("leader"), F.col("l.weight").alias("leader_weight"))
+    leaders = rows.groupBy("bucket").agg(F.max_by("cls", "density").alias("leader"), F.max_by("weight", "density").alias("leader_weight"))
+    return rows.join(leaders, "bucket").select("bucket", "cls", "weight", "density", "leader", "leader_weight")
 
 
 def _pivots(entries: DataFrame, comps: DataFrame) -> DataFrame:
@@ -290,10 +325,10 @@ def _pivots(entries: DataFrame, comps: DataFrame) -> DataFrame:
     of = lambda key: comps.select(F.col("node").alias(key), F.col("comp").alias(f"{key}_comp"))
     rows = entries.join(of("cls"), "cls", "left").join(of("leader"), "leader", "left")
     rows = rows.select("bucket", "cls", "weight", "density", F.coalesce("cls_comp", "cls").alias("comp"), F.coalesce("leader_comp", "leader").alias("leader_comp"))
-    best = rows.groupBy("comp").agg(F.max(F.struct("density", "cls", "weight")).alias("p")).withColumnRenamed("comp", "leader_comp")
+    best = rows.groupBy("comp").agg(F.max_by("cls", "density").alias("a"), F.max_by("weight", "density").alias("a_weight")).withColumnRenamed("comp", "leader_comp")
     mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("comp") != F.col("leader_comp")).alias("mixed")).where("n > 2 AND mixed").select("bucket")
     rows = rows.join(mixed, "bucket", "left_semi").select("leader_comp", "cls", "weight").distinct().join(best, "leader_comp")
-    return rows.where("p.cls != cls").select(F.col("p.cls").alias("a"), F.col("cls").alias("b"), "weight", F.col("p.weight").alias("a_weight"))
+    return rows.where("a != cls").select("a", F.col("cls").alias("b"), "weight", "a_weight")
 
 
 def _better_pivots(star: DataFrame) -> DataFrame:
@@ -301,16 +336,16 @@ def _better_pivots(star: DataFrame) -> DataFrame:
     linked = star.where("linked")
     sizes = linked.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n >= 8")
     excess = linked.join(sizes, "a").select("a", "n", "b", "inter", F.explode("excess").alias("shingle"))
-    usual = excess.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n")).where("2 * held > n").select("a", "shingle")
+    usual = excess.groupBy("a", "n", "shingle").agg(F.count(F.lit(1)).alias("held")).where("2 * held > n").select("a", "shingle")
     held = excess.join(usual, ["a", "shingle"]).groupBy("a", "b", "inter").agg(F.count(F.lit(1)).alias("held"))
-    return held.groupBy("a").agg(F.max(F.struct("held", "inter", "b")).getField("b").alias("pivot"))
+    return held.groupBy("a").agg(F.max_by("b", F.col("held") * (1 << 31) + F.col("inter")).alias("pivot"))
 
 
-def _candidate_texts(source: DataFrame, classes: DataFrame, entries: DataFrame) -> DataFrame:
-    """(cls, text) of every class that shares a bucket."""
-    wanted = classes.join(entries.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"))
-    found = source.alias("s").join(wanted.alias("w"), F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.text_hash") == F.col("w.text_hash")))
-    return found.select("w.cls", "s.text").dropDuplicates(["cls"])
+def _candidate_texts(source: DataFrame, signed: DataFrame, entries: DataFrame) -> DataFrame:
+    """(cls, text) of every class that shares a bucket; rows that repeat id and text give one."""
+    key = F.coalesce("doc_id", F.lit(-1).cast("long")).alias("key")
+    wanted = signed.join(entries.select(F.col("cls").alias("rid")).distinct(), "rid", "left_semi").select(key, "text_hash", F.col("rid").alias("cls"))
+    return source.select(key, "text_hash", "text").join(wanted, ["key", "text_hash"]).dropDuplicates(["key", "text_hash"]).select("cls", "text")
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -324,23 +359,23 @@ def _open_pairs(ws: Workspace, star: DataFrame, members: DataFrame, comps: DataF
     of = lambda key: comps.select(F.col("node").alias(key), F.col("comp").alias(f"{key}_comp"))
     rows = star.join(members.select("a", "b", "weight").distinct(), ["a", "b"])
     rows = rows.join(of("b"), "b", "left").join(of("a"), "a", "left")
-    rows = rows.select("a", "b", "weight", "inter", "excess", F.coalesce("b_comp", "b").alias("comp"), (F.coalesce("b_comp", "b") != F.coalesce("a_comp", "a")).alias("open"))
+    rows = rows.select("a", "b", "weight", "inter", "far", "excess", F.coalesce("b_comp", "b").alias("comp"), (F.coalesce("b_comp", "b") != F.coalesce("a_comp", "a")).alias("open"))
     live = rows.groupBy("a").agg(F.max("open").alias("any"), F.min("weight").alias("least")).where("any").drop("any")
-    rows = ws.stage(rows.join(live, "a"), "live")
-    rows = rows.withColumn("full", F.size("excess") == F.col("weight") - F.col("inter"))
-    entries = rows.select("a", "b", "weight", "inter", "comp", "open", "full", "excess", F.explode("excess").alias("shingle"))
-    mixed = entries.groupBy("a", "shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("a", "shingle")
+    rows = ws.stage(rows.join(live, "a").withColumn("full", F.size("excess") == F.col("weight") - F.col("inter")), "live")
+    own = ["b", "weight", "inter", "far", "comp", "open", "full"]
+    entries = rows.select("a", *own, F.size("excess").alias("n"), F.posexplode("excess").alias("nth", "shingle"))
+    mixed = entries.groupBy("a", "shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("open").alias("any")).where("low != high AND any").select("a", "shingle")
     entries = ws.stage(entries.join(mixed, ["a", "shingle"], "left_semi"), "excess")
-    other = lambda df: df.withColumnsRenamed({c: f"m_{c}" for c in ("weight", "inter", "comp", "open", "full", "excess")} | {"b": "m"})
-    near = F.least("weight", "m_weight") >= threshold * F.greatest("weight", "m_weight") - 1e-9
+    other = lambda df: df.withColumnsRenamed({c: f"m_{c}" for c in (*own[1:], "n", "nth")} | {"b": "m"})
+    near = (F.least("weight", "m_weight") >= threshold * F.greatest("weight", "m_weight") - 1e-9) & (F.abs(F.col("far") - F.col("m_far")) <= 1 - threshold + 1e-9)
     pair = (F.least("b", "m").alias("x"), F.greatest("b", "m").alias("y"))
     k = threshold / (1 + threshold)
-    # A pair once, at the smallest excess shingle that it shares; and where all excess of
-    # both is known, only if it shares as much as a link needs.
-    both = F.array_intersect("excess", "m_excess")
-    enough = ~(F.col("full") & F.col("m_full")) | (F.size(both) >= k * (F.col("weight") + F.col("m_weight")) - F.least("inter", "m_inter") - 1e-6)
-    once = (F.col("shingle") == F.array_min(both)) & (~F.col("m_open") | (F.col("b") < F.col("m")))
-    by_excess = entries.where("open").join(other(entries), ["a", "shingle"]).where((F.col("comp") != F.col("m_comp")) & near & once & enough).select(*pair)
-    roomy = rows.where("open").withColumn("room", F.col("inter") / k - F.col("weight") + 1e-6).where("room >= least").drop("excess", "least", "open", "inter", "full")
-    by_size = roomy.join(other(rows.select("a", "b", "weight", "comp")), "a").where("m_weight <= room AND comp != m_comp").where(near).select(*pair)
+    # What a link's excess must share, where all of it is known.
+    need = F.when(F.col("full") & F.col("m_full"), k * (F.col("weight") + F.col("m_weight")) - F.least("inter", "m_inter") - 1e-6).otherwise(F.lit(0.0))
+    most = F.least("nth", "m_nth") + F.least(F.col("n") - F.col("nth"), F.col("m_n") - F.col("m_nth"))
+    once = ~F.col("m_open") | (F.col("b") < F.col("m"))
+    met = entries.where("open").join(other(entries), ["a", "shingle"]).where((F.col("comp") != F.col("m_comp")) & near & once).withColumn("need", need).where(most >= F.col("need"))
+    by_excess = met.groupBy("a", "b", "m", "need").agg(F.count(F.lit(1)).alias("shared")).where("shared >= need").select(*pair)
+    roomy = rows.where("open").withColumn("room", F.col("inter") / k - F.col("weight") + 1e-6).where("room >= least").select("a", *own, "room")
+    by_size = roomy.join(other(rows.select("a", *own)), "a").where("m_weight <= room AND comp != m_comp").where(near).select(*pair)
     return by_excess.union(by_size).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))

@@ -36,13 +36,13 @@ _PLACE_VALUE = mix64(np.arange(1000, 1000 + 4096, dtype=np.uint64)) | np.uint64(
 _SLOT_VALUE = mix64(np.arange(9000, 9000 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
-def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """Consecutive slices of about ``size`` bytes, with the index of their first row."""
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive slices of about ``size`` bytes and at most ``rows`` rows, with the index of their first row."""
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     begin = 0
     while begin < len(texts):
         done = ends[begin - 1] if begin else 0
-        stop = max(begin + 1, int(np.searchsorted(ends, done + size, side="right")))
+        stop = min(begin + rows, max(begin + 1, int(np.searchsorted(ends, done + size, side="right"))))
         yield begin, texts.slice(begin, stop - begin)
         begin = stop
 

@@ -10,14 +10,20 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: Result tables that :meth:`Workspace.finish` has left since :func:`discard_results` last ran.
+_RESULTS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set."""
+    """The folder that driver and executors share; in a local session without one, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        # Only a local session lacks the setting: driver and executors are one process.
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        # In a local session driver and executors are one process.
         found = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(_remove_local, found)
@@ -37,6 +43,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard_results(spark: SparkSession) -> None:
+    """Delete the result tables that operators of this process left; whoever read them is done."""
+    while _RESULTS:
+        delete_path(spark, _RESULTS.pop())
+
+
 class Workspace:
     """Stages of one run. ``finish`` keeps only the result table and drops the rest."""
 
@@ -44,7 +56,6 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._kept: list[str] = []
 
     def path(self, label: str) -> str:
         self._n += 1
@@ -56,6 +67,16 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, label: str = "step", what: Column | None = None) -> tuple[DataFrame, int]:
+        """As :meth:`stage`, and the number of rows, or of those where ``what`` is true.
+
+        The write itself counts, so no job is spent on it.
+        """
+        seen = Observation()
+        count = F.count(F.lit(1)) if what is None else F.count_if(what)
+        staged = self.stage(df.observe(seen, count.alias("n")), label)
+        return staged, int(seen.get["n"] or 0)
+
     def drop(self, *staged: DataFrame) -> None:
         """Delete staged tables that no later step reads."""
         for df in staged:
@@ -68,4 +89,5 @@ class Workspace:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         delete_path(self.spark, self.root)
+        _RESULTS.append(path)
         return out

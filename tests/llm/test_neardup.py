@@ -3,10 +3,12 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from helpers import AWKWARD, awkward, empty, shingles, similarity
 
 from lattica.llm import neardup as X
 from lattica.llm import queries
+from lattica.llm.workspace import Workspace
 
 
 def brute(rows, threshold=0.8):
@@ -67,6 +69,51 @@ def test_families_of_copies(spark):
     assert rows_of(X.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_large_batches_of_short_texts(spark):
+    """Batches of more texts than the composite key can number are cut."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
+    try:
+        rows = spark.range(30_000).coalesce(1).selectExpr("id AS doc_id", "concat('w', id) AS text")
+        out = X.near_duplicates(rows)
+        assert out.count() == 30_000 and out.where("class_size > 1").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with pytest.raises(ValueError, match="texts in a step"):
+        X.multisets(pa.array(["a"] * 16_385, pa.large_string()))
+
+
+def test_long_near_copies(spark):
+    """Texts of 20,000 words with edits around the threshold, and copies of copies."""
+    rng = random.Random(5)
+    base = [f"v{rng.randrange(5000)}" for _ in range(20_000)]
+    rows = [" ".join(base)]
+    for share in (0.01, 0.02, 0.03, 0.04, 0.042, 0.044, 0.05, 0.06):
+        for _ in range(2):
+            w = list(base)
+            for at in rng.sample(range(len(w)), int(share * len(w))):
+                w[at] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(w))
+            v = list(w)
+            for at in rng.sample(range(len(v)), 300):
+                v[at] = "again"
+            rows.append(" ".join(v))
+    rows = list(enumerate(rows))
+    assert rows_of(X.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_components_of_chains(spark):
+    """Long chains, stars and pairs, against the labels of a plain search."""
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1100)] + [(5000 + 2 * i, 5001 + 2 * i) for i in range(20)] + [(1100, 1050)]
+    rng.shuffle(edges)
+    found = X.components(Workspace(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect()
+    groups = defaultdict(set)
+    for r in found:
+        groups[r.comp].add(r.node)
+    want = [set(range(301)), set(range(1000, 1101))] + [{5000 + 2 * i, 5001 + 2 * i} for i in range(20)]
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want)) and len(found) == 301 + 101 + 40
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(3)
     for wa, wb in (({1: 1, 2: 1, 3: 1}, {2: 1, 3: 1, 4: 1}), ({1: 5, 2: 3}, {1: 3, 2: 4, 3: 2}), ({1: 100, 2: 7}, {1: 60, 2: 9}), ({9: 1}, {9: 3})):
