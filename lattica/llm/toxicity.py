@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 Input of a word is two vectors: one of the word itself (hashed), and the mean of vectors
-of its character n-grams (hashed; prefixes, suffixes and inner trigrams). Two gated
+of its character n-grams (hashed; prefixes, suffixes and all inner trigrams). A run of
+more than ``PIECE`` letters is read as overlapping pieces, each a word. Two gated
 recurrent layers read a window of words forwards and backwards, attention pools their
 states, and a logistic unit gives the window's probability. A text is cut into windows
 that overlap by half, whatever its length, and is toxic if any window is: its
@@ -9,12 +10,14 @@ probability is one minus the product of the windows' complements. Labels of whol
 train that directly.
 
 Training reads a bounded sample of labelled rows (``Settings.toxic_rows`` and
-``clean_rows``) on the driver. Scoring is one pass over the table; word vectors are
-projected once per distinct word in a worker's bounded cache.
+``clean_rows``) in one task; the driver gets the weights alone, about a megabyte. Scoring
+is one pass over the table; word vectors are projected once per distinct word in a
+worker's bounded cache.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -61,30 +64,35 @@ class Settings:
 
 # ---- inputs -----------------------------------------------------------------
 
-_CHARS = 24
+#: Letters of the longest word that is read as one.
+PIECE = 24
+#: Letters of a piece of longer ones, and from one to the next.
+PART, PART_STRIDE = 12, 4
 _PREFIXES = (2, 3, 4, 5, 6, 7)
 _SUFFIXES = (3, 4)
-_TRIGRAMS = 10
+_TRIGRAMS = PIECE - 3
 _GRAMS = len(_PREFIXES) + len(_SUFFIXES) + _TRIGRAMS
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """The runs of letters of a text, those of more than ``PIECE`` letters in overlapping pieces."""
+    words = _WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= PIECE else (w[k : k + PART] for k in range(0, len(w) - PART + PART_STRIDE, PART_STRIDE)))]
 
 
 def word_inputs(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of each word vector, rows of its n-grams (0: none), and one over their number.
 
-    A word of more than ``_CHARS`` letters gives n-grams of its ends; its own row is that
-    of the whole word.
+    Words have ``PIECE`` letters at most, and their n-grams cover every letter.
     """
     n = len(words)
     whole = np.array([hash_text(w) for w in words], np.uint64)
-    short = [w if len(w) <= _CHARS else w[: _CHARS // 2] + w[-_CHARS // 2 :] for w in words]
-    codes = np.zeros((n, _CHARS), np.uint64)
-    raw = np.array(short, dtype=f"U{_CHARS}").view(np.uint32).reshape(n, _CHARS) if n else codes
+    codes = np.zeros((n, PIECE), np.uint64)
+    raw = np.array(words, dtype=f"U{PIECE}").view(np.uint32).reshape(n, PIECE) if n else codes
     codes[:] = raw
-    length = np.array([len(w) for w in short], np.int64)
+    length = np.array([len(w) for w in words], np.int64)
     grams = np.zeros((n, _GRAMS), np.int32)
     column = 0
 
@@ -105,7 +113,7 @@ def word_inputs(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray,
         for k in range(m):
             h = (h ^ codes[at, np.maximum(length - m + k, 0)]) * prime
         put(h, 2, length >= m)
-    for k in range(_TRIGRAMS):
+    for k in range(min(_TRIGRAMS, max(length.max(initial=0) - 3, 0))):
         h = np.zeros(n, np.uint64)
         for j in range(3):
             h = (h ^ codes[:, k + 1 + j]) * prime
@@ -284,11 +292,11 @@ def train(texts: list[str], toxic: list[int], s: Settings | None = None) -> Netw
     for t in texts:
         ids += [vocab.setdefault(w, len(vocab)) for w in words_of(t)]
         ends.append(len(ids))
-    words = list(vocab)
-    parts = [word_inputs(words[a : a + 4096], s) for a in range(0, max(len(words), 1), 4096)]
-    word, grams, scale = (np.concatenate(x) for x in zip(*parts, strict=True))
+    word, grams, scale = word_inputs(list(vocab), s)
+    # Columns that no word of the sample is long enough for
+    grams = grams[:, : max(1, np.flatnonzero(grams.any(axis=0)).max(initial=0) + 1)]
     ids, ends = np.array(ids, np.int32), np.array(ends)
-    del vocab, words, parts
+    del vocab
     start, stop, owner = window_spans(ends, s)
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
     # A fifth of the texts calibrates, the rest trains.
@@ -321,7 +329,7 @@ def train(texts: list[str], toxic: list[int], s: Settings | None = None) -> Netw
         compact = np.zeros_like(rows)
         compact[rows > 0] = local + 1
         drop = rng.random(len(used)) < 0.5  # half of the words are known by their characters only
-        seen = np.where(rng.random((len(used), _GRAMS)) < s.gram_drop, 0, grams[used])
+        seen = np.where(rng.random((len(used), grams.shape[1])) < s.gram_drop, 0, grams[used])
         vec = net.vectors(word[used], seen, scale[used]).astype(np.float32)
         vec[drop, 1 : s.word_dim] = 0
         gates = np.concatenate([np.zeros((1, 2, 3 * s.hidden), np.float32), net.project(vec)])
@@ -345,7 +353,7 @@ def train(texts: list[str], toxic: list[int], s: Settings | None = None) -> Netw
         g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
         np.add.at(g["word"], word[used], d_vec[:, : s.word_dim])
         flat = seen.reshape(-1)
-        np.add.at(g["char"], flat, np.repeat(d_vec[:, s.word_dim :] * scale[used][:, None], _GRAMS, axis=0))
+        np.add.at(g["char"], flat, np.repeat(d_vec[:, s.word_dim :] * scale[used][:, None], grams.shape[1], axis=0))
         g["char"][0] = 0
         g["word"][:, 0] = g["char"][:, 0] = 0
         adam.step(g, s.rate * min(1.0, 2.0 * (1 - step / s.steps)))
@@ -405,8 +413,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple[str, int]]:
-    """(text, toxic) of at most ``toxic_rows`` and ``clean_rows`` labelled rows that are not held out.
+def training_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, text, toxic) of at most ``toxic_rows`` and ``clean_rows`` labelled rows that are not held out.
 
     Rows are chosen by hash of their id; an id labelled twice counts as toxic if either
     label is. The ids are bounded by those parameters, so they are broadcast.
@@ -416,8 +424,20 @@ def training_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tup
     order = F.xxhash64("doc_id")
     chosen = known.where("toxic > 0").orderBy(order, "doc_id").limit(s.toxic_rows).unionAll(known.where("toxic <= 0").orderBy(order, "doc_id").limit(s.clean_rows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
-    return [(r.text, int(r.toxic > 0)) for r in sorted(found, key=lambda r: r.doc_id)]
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Network:
+    """The network trained on :func:`training_sample`, in one task whose memory goes with it."""
+    s = s or Settings()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        net = train([text for _, text, _ in rows], [int(toxic > 0) for _, _, toxic in rows], s)
+        yield pa.record_batch([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    row = training_sample(docs, labels, s).repartition(1).mapInArrow(run, "net binary").first()
+    return pickle.loads(row[0]) if row else train([], [], s)
 
 
 class _Scorer(dict):
@@ -490,12 +510,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, s: Settings | None = Non
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Network:
-    s = s or Settings()
-    sample = training_sample(docs, labels, s)
-    return train([t for t, _ in sample], [y for _, y in sample], s)
-
-
 def drop_toxic(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> DataFrame:
     """The documents whose score is below the threshold; all columns stay.
 

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 from helpers import awkward, empty
 
+from lattica.llm import queries
 from lattica.llm import toxicity as X
 
 SMALL = X.Settings(steps=60, word_rows=512, char_rows=2048, toxic_rows=60, clean_rows=120)
@@ -72,6 +73,20 @@ def test_late_words_count():
     assert high > low + 0.2
 
 
+def test_inside_of_long_words_counts():
+    """A run of 5,000 letters is read whole: a toxic stretch anywhere in it changes the score."""
+    rng = np.random.default_rng(4)
+    net = X.train(*corpus(150, rng), SMALL)
+    run = "".join(rng.choice(list("aeioutrnsl"), 5000))
+    assert "".join(w[: X.PART_STRIDE] for w in X.words_of(run)).startswith(run[:4980]) and X.words_of(run)[-1].endswith(run[-4:])
+    rise = []
+    for at in (6, 800, 2501, 2502, 2503, 4980):
+        plain, marked = X._Scorer(net).scores([run, run[:at] + "zorkfaceblarghead" + run[at + 17 :]])
+        assert marked != plain, at
+        rise.append(marked - plain)
+    assert np.mean(rise) > 0.02
+
+
 def test_awkward_rows_and_held_out(spark):
     df = awkward(spark)
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 1), (8, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
@@ -83,6 +98,19 @@ def test_awkward_rows_and_held_out(spark):
     assert X.drop_toxic(df, labels, SMALL).columns == df.columns
 
 
+def test_query_on_rows_held_out(spark):
+    """The registered query, with its own parameters, on the labelled rows that it must not learn from."""
+    sf = "/root/testdata/sf0.1"
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").collect()}
+    rows = queries.op2_toxicity(spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id in toxic]
+    p, y = np.array([r.score for r in held]), np.array([toxic[r.doc_id] for r in held])
+    print("held out:", len(held), "AUC", auc(y, p), "recall", (p[y == 1] >= 0.3).mean(), "false", (p[y == 0] >= 0.3).mean())
+    assert auc(y, p) > 0.94 and (p[y == 1] >= 0.3).mean() > 0.85 and (p[y == 0] >= 0.3).mean() < 0.03
+
+
 def test_held_out_accuracy():
     sf = "/root/testdata/sf0.1"
     rows = duckdb.sql(f"SELECT d.doc_id, coalesce(text, ''), toxic FROM '{sf}/documents.parquet' d JOIN '{sf}/labels.parquet' USING (doc_id) ORDER BY doc_id").fetchall()
