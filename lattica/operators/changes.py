@@ -10,23 +10,76 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def apply_changes(snapshot: DataFrame, changes: DataFrame, *, id_col: str) -> DataFrame:
-    """The next snapshot: inserts get version 1, updates the old one plus 1, deletes go."""
-    columns = [c for c in snapshot.columns if c not in (id_col, "_version")]
-    new = changes.select(id_col, *[F.col(c).alias(f"new_{c}") for c in columns], F.col("_op").alias("op"))
-    joined = snapshot.withColumn("had", F.lit(True)).join(new, id_col, "full_outer").where("op IS NULL OR op != 'delete'")
-    version = F.when(F.col("op").isNull(), F.col("_version")).otherwise(F.coalesce(F.col("_version"), F.lit(0)) + 1)
-    values = [F.when(F.col("op").isNull(), F.col(c)).otherwise(F.col(f"new_{c}")).alias(c) for c in columns]
-    return joined.select(id_col, *values, version.cast("int").alias("_version"))
+#: Operations of a change set.
+OPERATIONS = ("insert", "update", "upsert", "delete")
 
 
-def upsert(snapshot: DataFrame, rows: DataFrame, *, id_col: str) -> DataFrame:
-    """Insert rows whose key is new, replace the others."""
-    return apply_changes(snapshot, rows.withColumn("_op", F.lit("upsert")), id_col=id_col)
+def judged(snapshot: DataFrame, changes: DataFrame, *, id_col: str, order_col: str | None = None) -> DataFrame:
+    """One row per id of either side: id, was, new, op, fault.
+
+    ``was`` and ``new`` are structs of the other columns (null where a side lacks the id),
+    so column names never clash. Columns that the changes lack keep their old value. Of
+    several changes of one id the last by ``order_col`` counts; without that column none
+    does. ``fault`` is null for a change that may be applied, else ``repeated``,
+    ``unknown`` (no such operation), ``exists`` (insert of an id that is there),
+    ``missing`` (update or delete of one that is not) or ``unchanged`` (update that
+    changes nothing; such an upsert is none at all, and its op is null).
+    """
+    columns = [c for c in snapshot.columns if c != id_col]
+    values = F.struct(*[F.col(f"`{c}`") for c in columns if c in changes.columns])
+    edit = F.struct(F.col("_op").alias("op"), values.alias("row"))
+    last = F.max_by(edit, F.col(f"`{order_col}`")) if order_col else F.any_value(edit)
+    per_id = changes.groupBy(F.col(f"`{id_col}`").alias("id")).agg(last.alias("edit"), F.count(F.lit(1)).alias("times"))
+    old = snapshot.select(F.col(f"`{id_col}`").alias("id"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("was"))
+    joined = old.join(per_id, "id", "full_outer")
+    new = F.struct(*[(F.col(f"edit.row.`{c}`") if c in changes.columns else F.col(f"was.`{c}`")).alias(c) for c in columns if c != "_version"])
+    before = F.struct(*[F.col(f"was.`{c}`").alias(c) for c in columns if c != "_version"])
+    joined = joined.select("id", "was", new.alias("new"), before.alias("before"), F.col("edit.op").alias("op"), "times", F.col("edit").isNotNull().alias("edited"))
+    same = F.col("was").isNotNull() & F.col("before").eqNullSafe(F.col("new"))
+    fault = (
+        F.when(~F.col("edited"), None)
+        .when(F.lit(order_col is None) & (F.col("times") > 1), "repeated")
+        .when(F.col("op").isNull() | ~F.col("op").isin(*OPERATIONS), "unknown")
+        .when((F.col("op") == "insert") & F.col("was").isNotNull(), "exists")
+        .when(F.col("op").isin("update", "delete") & F.col("was").isNull(), "missing")
+        .when((F.col("op") == "update") & same, "unchanged")
+    )
+    idle = (F.col("op") == "upsert") & same
+    return joined.select("id", "was", "new", F.when(~F.coalesce(idle, F.lit(False)), F.col("op")).alias("op"), fault.alias("fault"))
+
+
+def apply_changes(snapshot: DataFrame, changes: DataFrame, *, id_col: str, order_col: str | None = None) -> DataFrame:
+    """The next snapshot: inserts get version 1, updates the old one plus 1, deletes go.
+
+    Changes with a fault (see :func:`judged`) leave their row as it was;
+    :func:`rejected` lists them.
+    """
+    rows = judged(snapshot, changes, id_col=id_col, order_col=order_col)
+    applied = F.col("op").isNotNull() & F.col("fault").isNull()
+    rows = rows.where(F.when(applied, F.col("op") != "delete").otherwise(F.col("was").isNotNull()))
+    version = F.coalesce(F.col("was._version"), F.lit(0)) + F.when(applied, 1).otherwise(0)
+    value = lambda c: version.cast("int") if c == "_version" else F.when(applied, F.col(f"new.`{c}`")).otherwise(F.col(f"was.`{c}`"))
+    return rows.select(F.col("id").alias(id_col), *[value(c).alias(c) for c in snapshot.columns if c != id_col])
+
+
+def rejected(snapshot: DataFrame, changes: DataFrame, *, id_col: str, order_col: str | None = None) -> DataFrame:
+    """(id, op, fault) of the changes that :func:`apply_changes` leaves out."""
+    return judged(snapshot, changes, id_col=id_col, order_col=order_col).where("fault IS NOT NULL").select(F.col("id").alias(id_col), "op", "fault")
+
+
+def upsert(snapshot: DataFrame, rows: DataFrame, *, id_col: str, on: str | None = None, order_col: str | None = None) -> DataFrame:
+    """Insert rows whose key is new, update the others; an unchanged row keeps its version.
+
+    ``on`` names a unique column that finds the row to update in place of the id: that
+    row keeps its id, and the id given with ``rows`` is for new ones only.
+    """
+    if on:
+        found = snapshot.select(F.col(f"`{on}`").alias("__on"), F.col(f"`{id_col}`").alias("__id"))
+        rows = rows.join(found, F.col(f"`{on}`").eqNullSafe(F.col("__on")), "left").withColumn(id_col, F.coalesce("__id", F.col(f"`{id_col}`"))).drop("__on", "__id")
+    return apply_changes(snapshot, rows.withColumn("_op", F.lit("upsert")), id_col=id_col, order_col=order_col)
 
 
 def delete(snapshot: DataFrame, ids: DataFrame, *, id_col: str) -> DataFrame:
@@ -104,5 +157,5 @@ def drop_stale(events: DataFrame, ts: str, now: Column, seconds: int = 120) -> D
 def latest(updates: list[DataFrame], key: str, order: str) -> DataFrame:
     """Merged updates, the last of each key."""
     rows = reduce(DataFrame.unionByName, updates)
-    w = W.partitionBy(key).orderBy(F.col(order).desc())
-    return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy(F.col(f"`{key}`").alias("__key")).agg(F.max_by(row, F.col(f"`{order}`")).alias("__row")).select("__row.*")

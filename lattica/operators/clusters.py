@@ -6,28 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lattica.sources.shared import staged
 
-def connected(edges: DataFrame, left: str, right: str, rounds: int | None = None) -> DataFrame:
-    """(node, component) by spreading the smallest name; ``rounds`` bounds the spreading.
 
-    Without a bound it runs until labels settle; each round is written to the checkpoint
-    folder where the session names one.
+def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """(node, component) of every node with an edge; a component goes by its smallest name.
+
+    In a round each node points at its least neighbour if that is less than itself, pointers
+    are followed to their roots by doubling, and edges between different roots remain. The
+    roots at least halve, so the rounds grow with the logarithm of the nodes, whatever
+    the diameter. Each round is written to the shared folder.
     """
-    pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).distinct()
-    both = pairs.union(pairs.select("b", "a")).toDF("a", "b")
-    spark = edges.sparkSession
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
-    n = 1
-    while rounds is None or n < rounds:
-        seen = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("other")), "b")
-        lower = seen.groupBy("a").agg(F.min("other").alias("other"))
-        after = labels.join(lower, "a").select("a", F.least("label", "other").alias("label"), (F.col("other") < F.col("label")).alias("moved"))
-        if rounds is None:
-            after = after.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else after.persist()
-            if after.where("moved").isEmpty():
-                return after.select(F.col("a").alias("node"), F.col("label").alias("component"))
-        labels, n = after.select("a", "label"), n + 1
-    return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
+    pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b"))
+    rest, labels = pairs.union(pairs.select("b", "a")).distinct(), None
+    while True:
+        roots, settled = rest.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")), False
+        while not settled:
+            for _ in range(2):
+                roots = roots.join(roots.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", F.col("p").alias("was"), F.col("q").alias("p"))
+            roots = staged(roots.select("a", "p", (F.col("p") != F.col("was")).alias("moved")), "roots")
+            settled, roots = roots.where("moved").isEmpty(), roots.drop("moved")
+        root_of = lambda name: roots.select(F.col("a").alias(name), F.col("p").alias(f"{name}_root"))
+        if labels is None:
+            labels = roots.select(F.col("a").alias("node"), F.col("p").alias("component"))
+        else:
+            labels = labels.join(root_of("component"), "component", "left").select("node", F.coalesce("component_root", "component").alias("component"))
+        ends = rest.join(root_of("a"), "a").join(root_of("b"), "b").where("a_root != b_root")
+        rest = staged(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "edges")
+        if rest.isEmpty():
+            return labels
 
 
 def numbered_clusters(uses: DataFrame, system: str, table: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def rate_limit(calls: DataFrame, key: str, ts: str, call_id: str, times: int, per_micros: int) -> DataFrame:
@@ -38,13 +39,42 @@ def rate_limit(calls: DataFrame, key: str, ts: str, call_id: str, times: int, pe
 
 
 def flood_tiers(calls: DataFrame, key: str, ts: str, tiers: list[tuple[int, int]]) -> DataFrame:
-    """(key, tier, calls) of tiers ``[most calls, seconds]`` that a key exceeds after its first call."""
-    first = calls.groupBy(key).agg(F.min(ts).alias("first"))
-    joined = calls.join(first, key)
-    counts = [F.count_if(F.col(ts) <= F.col("first") + F.expr(f"INTERVAL {s} SECONDS")).alias(f"t{i}") for i, (_, s) in enumerate(tiers)]
-    sums = joined.groupBy(key).agg(*counts)
-    rows = F.array_compact(F.array(*[F.when(F.col(f"t{i}") > most, F.struct(F.lit(i).alias("tier"), F.col(f"t{i}").alias("calls"))) for i, (most, _) in enumerate(tiers)]))
-    return sums.select(key, F.explode(rows).alias("hit")).select(key, "hit.*")
+    """(key, tier, calls) of tiers ``(most calls, seconds)`` that a key exceeds.
+
+    Calls are counted from a key's first one. A call that comes later than the last
+    tier's seconds is the last of its count; the next one starts again from that call's
+    time. A tier is exceeded by more than its calls within less than its seconds, and
+    ``calls`` is the most that any count had by then. Like :func:`rate_limit` the rule
+    depends on order alone, so a key's calls stream through in bounded memory.
+    """
+    micros, period = [s * 1_000_000 for _, s in tiers], tiers[-1][1] * 1_000_000
+    columns = {key: "k", "tier": "tier", "calls": "calls"}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, start, count, best = None, 0, 0, [0] * len(tiers)
+
+        def hits() -> list[tuple]:
+            return [(current, i, n) for i, n in enumerate(best) if n > tiers[i][0]]
+
+        for frame in frames:
+            out = []
+            for k, t in zip(frame["k"].tolist(), frame["t"].tolist(), strict=True):
+                if k != current:
+                    out += hits()
+                    current, start, count, best = k, t, 0, [0] * len(tiers)
+                count += 1
+                elapsed = t - start
+                for i, m in enumerate(micros):
+                    if elapsed < m:
+                        best[i] = max(best[i], count)
+                if elapsed > period:
+                    start, count = t, 0
+            yield pd.DataFrame(out, columns=["k", "tier", "calls"])
+        yield pd.DataFrame(hits(), columns=["k", "tier", "calls"])
+
+    rows = calls.select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
+    found = rows.repartition("k").sortWithinPartitions("k", "t").mapInPandas(run, T.StructType([T.StructField("k", rows.schema["k"].dataType), T.StructField("tier", T.IntegerType()), T.StructField("calls", T.LongType())]))
+    return found.toDF(*columns)
 
 
 def guests_per_address(connections: DataFrame, address: str, owner: str, limit: int) -> DataFrame:

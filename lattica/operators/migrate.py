@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from lattica.operators.stats import duplicates
 from lattica.sources.schema import INT_RANGES, Table, spark_type, text_width
 from lattica.sources.tables import conform
 
+Step = Callable[[DataFrame], DataFrame]
 _FLOAT_DIGITS = {"float16": 11, "float32": 24, "float64": 53}
 
 
@@ -52,6 +55,24 @@ def migrate(rows: DataFrame, old: Table, new: Table, force: bool = False) -> Dat
     return conform(rows.select(*[F.col(c).cast(spark_type(new.columns[c].dtype)).alias(c) for c in kept]), new)
 
 
+def run_chain(rows: DataFrame, version: str, steps: Mapping[str, tuple[str, Step]], wanted: str) -> DataFrame:
+    """Rows brought from one schema version to another by the registered steps.
+
+    ``steps`` maps an old version to the one that its function makes. The chain stops
+    at ``wanted``; one that ends elsewhere or runs in a circle is an error.
+    """
+    seen = {version}
+    while version != wanted:
+        if version not in steps:
+            raise ValueError(f"no step leads on from version {version}")
+        version, step = steps[version]
+        if version in seen:
+            raise ValueError(f"the steps return to version {version}")
+        seen.add(version)
+        rows = step(rows)
+    return rows
+
+
 def check_unique(rows: DataFrame, table: Table) -> None:
     """Fail if a unique column repeats a value."""
     for name, column in table.columns.items():

@@ -66,7 +66,8 @@ def range_rows(df: DataFrame, column: str, left: Any, right: Any = None, *, id_c
         raise ValueError(f"column {column!r} has no index")
     rows = df.where(between(df, column, left, right))
     order = [F.col(column).desc(), F.col(id_col).desc()] if desc else [F.col(column), F.col(id_col)]
-    return rows.orderBy(*order).limit(limit) if limit >= 0 else rows
+    ordered = rows.orderBy(*order)
+    return ordered.limit(limit) if limit >= 0 else ordered
 
 
 def get_row(df: DataFrame, column: str, value: Any, *, id_col: str) -> DataFrame:

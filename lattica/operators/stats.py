@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,9 +15,59 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.sum(c).alias("total"), F.avg(c).alias("mean"), F.min(c).alias("least"), F.max(c).alias("most"), F.stddev_pop(c).alias("deviation"), F.count(c).alias("n"))
 
 
+#: Rows of a slice that is sorted to find a rank, and slices of a round of narrowing.
+SLICE_ROWS, SLICES = 1 << 16, 64
+
+
 def percentiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """Exact percentiles with linear interpolation, one column each (p25, p50, ...)."""
-    return df.agg(*[F.percentile(column, s).alias(f"p{round(s * 100)}") for s in shares])
+    """Exact percentiles with linear interpolation, one column each (p25, p50, ...).
+
+    The rank is narrowed to a range of values by counting below approximate quantiles,
+    64 times closer in each pass, until the range holds few rows; only those are sorted.
+    Nothing is shuffled but counts, whatever the number of rows or of distinct values.
+    Nulls and NaN are left out; without a value every percentile is null.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    names = [f"p{round(s * 100)}" for s in shares]
+    schema = ", ".join(f"{n} double" for n in names)
+    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        return df.sparkSession.createDataFrame([tuple(None for _ in names)], schema)
+    cuts, found = {}, {}
+    for rank in sorted({r for s in shares for r in (int(s * (n - 1)), min(int(s * (n - 1)) + 1, n - 1))}):
+        if rank not in found:
+            found |= _values_at(values, rank, low, high, n, cuts)
+    spot = lambda s: (found[int(s * (n - 1))], found[min(int(s * (n - 1)) + 1, n - 1)], s * (n - 1) % 1)
+    return df.sparkSession.createDataFrame([tuple(a + (b - a) * part for a, b, part in map(spot, shares))], schema)
+
+
+def _values_at(values: DataFrame, rank: int, low: float, high: float, rows: int, cuts: dict) -> dict[int, float]:
+    """The values of ``rank`` and of the next one as far as the slice that holds it tells.
+
+    ``cuts`` keeps what a range's pass has counted, for other ranks of the same range.
+    """
+    base = 0
+    while rows > SLICE_ROWS and low < high:
+        if (low, high) not in cuts:
+            part = values.where(F.col("v").between(low, high))
+            marks = sorted(set(part.agg(F.percentile_approx("v", [i / SLICES for i in range(1, SLICES)], SLICES * 10)).first()[0]))
+            cuts[low, high] = marks, list(part.agg(*[F.count_if(F.col("v") < m) for m in marks], *[F.count_if(F.col("v") <= m) for m in marks]).first())
+        marks, counts = cuts[low, high]
+        # Ends of half-open ranges: values below a mark, then the mark itself.
+        ends = sorted([(c, m, False) for m, c in zip(marks, counts[: len(marks)], strict=True)] + [(c, m, True) for m, c in zip(marks, counts[len(marks) :], strict=True)], key=lambda e: (e[1], e[2]))
+        below = max(((c, m, own) for c, m, own in ends if base + c <= rank), key=lambda e: (e[1], e[2]), default=None)
+        above = min(((c, m, own) for c, m, own in ends if base + c > rank), key=lambda e: (e[1], e[2]), default=None)
+        if above and above[2] and below and below[1] == above[1]:
+            return {r: above[1] for r in range(rank, min(rank + 2, base + above[0]))}
+        new_low = math.nextafter(below[1], math.inf) if below and below[2] else below[1] if below else low
+        new_high = math.nextafter(above[1], -math.inf) if above and not above[2] else above[1] if above else high
+        kept = (above[0] if above else rows) - (below[0] if below else 0)
+        base += below[0] if below else 0
+        low, high, rows = new_low, new_high, kept
+    if low == high:
+        return {r: low for r in range(rank, min(rank + 2, base + rows))}
+    got = values.where(F.col("v").between(low, high)).orderBy("v").offset(rank - base).limit(2).collect()
+    return {rank + i: r.v for i, r in enumerate(got)}
 
 
 def count_where(df: DataFrame, **conditions: Column) -> DataFrame:
@@ -37,9 +89,15 @@ def running_average(df: DataFrame, key: str, order: list[str], value: str) -> Da
     return df.withColumn("running_mean", F.sum(F.col(value).cast("decimal(18,6)")).over(w).cast("double") / F.count(value).over(w))
 
 
-def slow_calls(df: DataFrame, key: str, value: str, over: float, top: int = 20) -> DataFrame:
-    """Keys by average of their values above a limit, the slowest first."""
-    slow = df.where(F.col(value) > over).groupBy(key).agg(F.avg(value).alias("mean"), F.max(value).alias("worst"), F.count(F.lit(1)).alias("n"))
+def slow_calls(df: DataFrame, key: str, value: str, over: float, top: int = 20, retries: str | None = None, most_retries: int = 5) -> DataFrame:
+    """Keys by average of their values above a limit, the slowest first.
+
+    With a column of ``retries``, calls tried again more than ``most_retries`` times count too.
+    """
+    is_slow = F.col(value) > over
+    if retries:
+        is_slow = is_slow | (F.col(retries) > most_retries)
+    slow = df.where(is_slow).groupBy(key).agg(F.avg(value).alias("mean"), F.max(value).alias("worst"), F.count(F.lit(1)).alias("n"))
     return slow.orderBy(F.col("mean").desc(), F.col(key)).limit(top)
 
 

@@ -7,6 +7,7 @@ have none and are tested against brute force.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,9 +98,9 @@ def all_row_ids(spark, sf):
     return reads.id_list(load(spark, sf, "orders"), "o_orderkey")
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size, CAST(p_retailprice AS VARCHAR) AS p_retailprice FROM part")
 def raw_rows(spark, sf):
-    return reads.raw_format(load(spark, sf, "part").drop("p_retailprice"))
+    return reads.raw_format(load(spark, sf, "part"))
 
 
 @query("""
@@ -263,29 +264,81 @@ def _edits(snap):
     return update.select(columns).unionByName(gone.select(columns)).unionByName(new.select(columns))
 
 
-@query(f"""
-    WITH snap AS ({_VERSIONED}), edits AS ({_EDITS})
-    SELECT coalesce(s.id, e.id) AS id, CASE WHEN _op IS NULL THEN s.owner ELSE e.owner END AS owner, CASE WHEN _op IS NULL THEN s.price ELSE e.price END AS price,
-        CASE WHEN _op IS NULL THEN s.state ELSE e.state END AS state, CAST(CASE WHEN _op IS NULL THEN _version ELSE coalesce(_version, 0) + 1 END AS INTEGER) AS _version
-    FROM snap s FULL JOIN edits e ON s.id = e.id WHERE _op IS NULL OR _op <> 'delete'
+# Edits that break a rule, besides those that do not; ``seq`` orders the edits of an id.
+_ALL_EDITS = f"""
+    WITH snap AS ({_VERSIONED}), edits AS (
+        SELECT *, 1 AS seq FROM ({_EDITS})
+        UNION ALL SELECT id, owner, price + 7, state, 'insert', 1 FROM snap WHERE id % 5 <> 0 AND id % 7 <> 0 AND id % 13 = 0
+        UNION ALL SELECT -id - 500000000, owner, price, state, CASE WHEN id % 2 = 0 THEN 'update' ELSE 'delete' END, 1 FROM snap WHERE id % 17 = 0
+        UNION ALL SELECT id, owner, price, state, 'update', 1 FROM snap WHERE id % 5 <> 0 AND id % 7 <> 0 AND id % 13 <> 0 AND id % 3 = 0
+        UNION ALL SELECT id, owner, price + 2, state, 'update', 2 FROM snap WHERE id % 25 = 0),
+    last AS (SELECT * FROM edits QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+    judged AS (
+        SELECT coalesce(s.id, e.id) AS id, s.id IS NOT NULL AS there, s.owner AS s_owner, s.price AS s_price, s.state AS s_state, s._version AS s_version,
+            e.owner AS e_owner, e.price AS e_price, e.state AS e_state, e._op AS op,
+            CASE WHEN e._op = 'insert' AND s.id IS NOT NULL THEN 'exists' WHEN e._op IN ('update', 'delete') AND s.id IS NULL THEN 'missing'
+                WHEN e._op = 'update' AND s.owner = e.owner AND s.price = e.price AND s.state = e.state THEN 'unchanged' END AS fault
+        FROM snap s FULL JOIN last e ON s.id = e.id)
+"""
+
+
+def _all_edits(snap):
+    columns = ["id", "owner", "price", "state", "_op", "seq"]
+    rest = snap.where("id % 5 <> 0 AND id % 7 <> 0")
+    add = lambda df, op, seq=1: df.withColumns({"_op": op, "seq": F.lit(seq)}).select(columns)
+    parts = [
+        add(rest.where("id % 13 = 0").withColumn("price", F.col("price") + 7), F.lit("insert")),
+        add(snap.where("id % 17 = 0").withColumn("gone", F.col("id") % 2).withColumn("id", -F.col("id") - 500_000_000), F.when(F.col("gone") == 0, "update").otherwise("delete")),
+        add(rest.where("id % 13 <> 0 AND id % 3 = 0"), F.lit("update")),
+        add(snap.where("id % 25 = 0").withColumn("price", F.col("price") + 2), F.lit("update"), 2),
+    ]
+    return reduce(DataFrame.unionByName, parts, _edits(snap).withColumn("seq", F.lit(1)))
+
+
+@query(f"""{_ALL_EDITS}
+    SELECT id, CASE WHEN op IS NULL OR fault IS NOT NULL THEN s_owner ELSE e_owner END AS owner, CASE WHEN op IS NULL OR fault IS NOT NULL THEN s_price ELSE e_price END AS price,
+        CASE WHEN op IS NULL OR fault IS NOT NULL THEN s_state ELSE e_state END AS state, CAST(CASE WHEN op IS NULL OR fault IS NOT NULL THEN s_version ELSE coalesce(s_version, 0) + 1 END AS INTEGER) AS _version
+    FROM judged WHERE CASE WHEN op IS NULL OR fault IS NOT NULL THEN there ELSE op <> 'delete' END
 """)
 def commit_batch(spark, sf):
     snap = _snapshot(spark, sf)
-    return changes.apply_changes(snap, _edits(snap), id_col="id")
+    return changes.apply_changes(snap, _all_edits(snap), id_col="id", order_col="seq")
+
+
+@query(f"{_ALL_EDITS} SELECT id, op, fault FROM judged WHERE fault IS NOT NULL")
+def rejected_changes(spark, sf):
+    snap = _snapshot(spark, sf)
+    return changes.rejected(snap, _all_edits(snap), id_col="id", order_col="seq")
 
 
 @query(f"""
-    WITH snap AS ({_VERSIONED}), rows AS (SELECT id + CASE WHEN id % 2 = 0 THEN 0 ELSE 10000000 END AS id, owner, price * 2 AS price, state FROM snap WHERE id % 4 < 2)
+    WITH snap AS ({_VERSIONED}), rows AS (SELECT id + CASE WHEN id % 2 = 0 THEN 0 ELSE 10000000 END AS id, owner, CASE WHEN id % 3 = 0 THEN price ELSE price * 2 END AS price, state FROM snap WHERE id % 4 < 2)
     SELECT coalesce(s.id, r.id) AS id, coalesce(r.owner, s.owner) AS owner, coalesce(r.price, s.price) AS price, coalesce(r.state, s.state) AS state,
-        CAST(CASE WHEN r.id IS NULL THEN _version ELSE coalesce(_version, 0) + 1 END AS INTEGER) AS _version FROM snap s FULL JOIN rows r ON s.id = r.id
+        CAST(CASE WHEN r.id IS NULL OR r.price = s.price THEN _version ELSE coalesce(_version, 0) + 1 END AS INTEGER) AS _version FROM snap s FULL JOIN rows r ON s.id = r.id
 """)
 def upsert_batch(spark, sf):
+    """Unchanged rows are no update: they keep their version."""
     snap = _snapshot(spark, sf)
     key = F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(10_000_000)
-    rows = snap.where("id % 4 < 2").select(key.alias("id"), "owner", (F.col("price") * 2).alias("price"), "state")
+    price = F.when(F.col("id") % 3 == 0, F.col("price")).otherwise(F.col("price") * 2)
+    rows = snap.where("id % 4 < 2").select(key.alias("id"), "owner", price.alias("price"), "state")
     return changes.upsert(snap, rows, id_col="id")
 
 
+@query("""
+    WITH c AS (SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation, CAST(2 AS INTEGER) AS _version FROM customer),
+    r AS (SELECT -id - 1 AS id, CASE WHEN id % 3 = 0 THEN 'new' || id ELSE name END AS name, nation + id % 2 AS nation FROM c WHERE id % 5 = 0)
+    SELECT coalesce(c.id, r.id) AS id, coalesce(c.name, r.name) AS name, coalesce(r.nation, c.nation) AS nation,
+        CAST(CASE WHEN c.id IS NULL THEN 1 WHEN r.nation <> c.nation THEN 3 ELSE 2 END AS INTEGER) AS _version FROM c FULL JOIN r ON c.name = r.name
+""")
+def upsert_by_unique(spark, sf):
+    """Rows found by a unique column keep their id."""
+    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("nation"), F.lit(2).alias("_version"))
+    name = F.when(F.col("id") % 3 == 0, F.concat(F.lit("new"), F.col("id").cast("string"))).otherwise(F.col("name"))
+    rows = c.where("id % 5 = 0").select((-F.col("id") - 1).alias("id"), name.alias("name"), (F.col("nation") + F.col("id") % 2).alias("nation"))
+    return changes.upsert(c, rows, id_col="id", on="name")
+
+
 @query(f"WITH snap AS ({_VERSIONED}) SELECT * FROM snap WHERE owner % 10 <> 3")
 def delete_batch(spark, sf):
     snap = _snapshot(spark, sf)
@@ -406,12 +459,17 @@ def rate_limit(spark, sf):
 
 
 @query("""
-    WITH f AS (SELECT user_id, min(ts) AS first FROM events GROUP BY user_id),
-    c AS (SELECT user_id, count(*) FILTER (ts <= first + INTERVAL 86400 SECOND) AS t0, count(*) FILTER (ts <= first + INTERVAL 604800 SECOND) AS t1 FROM events JOIN f USING (user_id) GROUP BY user_id)
-    SELECT user_id, 0 AS tier, t0 AS calls FROM c WHERE t0 > 2 UNION ALL SELECT user_id, 1, t1 FROM c WHERE t1 > 15
+    WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    w AS (
+        SELECT user_id, n, t, t AS start, CAST(1 AS BIGINT) AS used FROM e WHERE n = 1
+        UNION ALL
+        SELECT e.user_id, e.n, e.t, CASE WHEN w.t - w.start > 604800000000 THEN w.t ELSE w.start END, CASE WHEN w.t - w.start > 604800000000 THEN 1 ELSE w.used + 1 END
+        FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1),
+    c AS (SELECT user_id, max(used) FILTER (t - start < 86400000000) AS t0, max(used) FILTER (t - start < 604800000000) AS t1 FROM w GROUP BY user_id)
+    SELECT user_id, CAST(0 AS INTEGER) AS tier, t0 AS calls FROM c WHERE t0 > 2 UNION ALL SELECT user_id, 1, t1 FROM c WHERE t1 > 7
 """)
 def flood_check(spark, sf):
-    return guards.flood_tiers(load(spark, sf, "events"), "user_id", "ts", [(2, 86_400), (15, 604_800)])
+    return guards.flood_tiers(load(spark, sf, "events"), "user_id", "ts", [(2, 86_400), (7, 604_800)])
 
 
 @query("SELECT o_orderpriority AS address, count(*) FILTER (o_custkey % 10 = 0) AS guests FROM orders GROUP BY ALL HAVING guests > 5")
@@ -427,14 +485,30 @@ def due_calls(spark, sf):
     return schedule.due(events, first + F.expr("INTERVAL 3 DAYS"), at="ts", id_col="event_id", limit=10)
 
 
-@query("""
-    WITH c AS (SELECT event_id AS id, epoch_us(ts) / 1e6 AS scheduled, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 60 END AS INTEGER) AS timeout, CAST(0 AS DOUBLE) AS last_run FROM events)
-    SELECT id, CASE WHEN scheduled <= 1.705e9 THEN 1.705e9 + timeout ELSE scheduled END AS scheduled, timeout, CASE WHEN scheduled <= 1.705e9 THEN 1.705e9 ELSE last_run END AS last_run
-    FROM c WHERE NOT (scheduled <= 1.705e9 AND timeout = 0)
+_CALLS = "SELECT event_id AS id, epoch_us(ts) / 1e6 AS scheduled, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 60 END AS INTEGER) AS timeout, CAST(0 AS DOUBLE) AS last_run FROM events"
+
+
+def _calls(spark, sf):
+    return load(spark, sf, "events").select(F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("scheduled"), F.when(F.col("event_id") % 3 == 0, 0).otherwise(60).alias("timeout"), F.lit(0.0).alias("last_run"))
+
+
+@query(f"""
+    WITH c AS ({_CALLS}), first AS (SELECT id AS taken FROM c WHERE scheduled BETWEEN 0 AND 1.705e9 + 0.1 ORDER BY scheduled, id LIMIT 1)
+    SELECT id, CASE WHEN taken IS NOT NULL THEN 1.705e9 + timeout ELSE scheduled END AS scheduled, timeout, CASE WHEN taken IS NOT NULL THEN 1.705e9 ELSE last_run END AS last_run
+    FROM c LEFT JOIN first ON id = taken WHERE NOT (taken IS NOT NULL AND timeout = 0)
 """)
 def pop_due_calls(spark, sf):
-    calls = load(spark, sf, "events").select(F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("scheduled"), F.when(F.col("event_id") % 3 == 0, 0).otherwise(60).alias("timeout"), F.lit(0.0).alias("last_run"))
-    return schedule.pop_due(calls, 1.705e9)
+    """The earliest due call alone is taken."""
+    return schedule.pop_due(_calls(spark, sf), 1.705e9, limit=1)
+
+
+@query(f"""
+    WITH c AS ({_CALLS})
+    SELECT id, CASE WHEN scheduled <= 1.705e9 + 0.1 THEN 1.705e9 + timeout ELSE scheduled END AS scheduled, timeout, CASE WHEN scheduled <= 1.705e9 + 0.1 THEN 1.705e9 ELSE last_run END AS last_run
+    FROM c WHERE NOT (scheduled <= 1.705e9 + 0.1 AND timeout = 0)
+""")
+def pop_all_due(spark, sf):
+    return schedule.pop_due(_calls(spark, sf), 1.705e9)
 
 
 @query("""
@@ -494,20 +568,16 @@ def name_digest(spark, sf):
     return load(spark, sf, "part").select("p_partkey", F.md5(F.col("p_name").cast("binary")).alias("digest"))
 
 
-_USES = "SELECT DISTINCT 'c' || c_nationkey AS s, 't' || (c_custkey % 40) // 2 AS t FROM customer WHERE c_custkey % 9 = 0"
-
-
-@query(f"""
-    WITH RECURSIVE uses AS ({_USES}), e AS (SELECT s AS a, t AS b FROM uses UNION SELECT t, s FROM uses),
-    l(n, a, label) AS (
-        SELECT 1, a, least(a, min(b)) FROM e GROUP BY a
-        UNION ALL
-        SELECT max(l.n) + 1, e.a, min(least(l.label, o.label)) FROM e JOIN l ON l.a = e.a JOIN l o ON o.a = e.b WHERE l.n < 6 GROUP BY e.a)
-    SELECT a AS node, label AS component FROM l WHERE n = 6
+@query("""
+    WITH RECURSIVE uses AS (SELECT DISTINCT 'c' || c_nationkey AS s, 't' || (c_nationkey // 4 * 2 + c_custkey % 2) AS t FROM customer),
+    e AS (SELECT s AS a, t AS b FROM uses UNION SELECT t, s FROM uses),
+    r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+    SELECT a AS node, min(b) AS component FROM r GROUP BY a
 """)
 def colocation_clusters(spark, sf):
-    uses = load(spark, sf, "customer").where("c_custkey % 9 = 0").select(F.concat(F.lit("c"), "c_nationkey").alias("s"), F.concat(F.lit("t"), F.floor(F.col("c_custkey") % 40 / 2).cast("string")).alias("t"))
-    return clusters.connected(uses, "s", "t", rounds=6)
+    group = F.floor(F.col("c_nationkey") / 4) * 2 + F.col("c_custkey") % 2
+    uses = load(spark, sf, "customer").select(F.concat(F.lit("c"), "c_nationkey").alias("s"), F.concat(F.lit("t"), group.cast("string")).alias("t"))
+    return clusters.connected(uses, "s", "t")
 
 
 @query("""

@@ -1,13 +1,14 @@
 """Live queries and guards on streams.
 
 The change feed is a Parquet folder of change rows (``_op``, the table's columns and
-``commit_ts``). A subscription keeps the last result of a limited range per caller's rule
-and sends the difference after each micro-batch that concerns it.
+``commit_ts``), or of the channels that commits concern. A subscription keeps the last
+result of a range or row per caller's rule and sends the difference after each
+micro-batch that concerns it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from lattica.operators import changes
+from lattica.functions import ids
+from lattica.operators import changes, reads
+from lattica.sources.shared import delete, staged
 
 Send = Callable[[str, DataFrame], None]
 
@@ -31,46 +34,82 @@ def concerned(batch: DataFrame, channel_col: str, watched: DataFrame, *, ts: str
     return fresh.select(channel_col).distinct().join(watched, channel_col, "left_semi")
 
 
-class RangeSubscription:
-    """One live range: ``query`` reads the current snapshot, limited and secured.
+def append_feed(rows: DataFrame, path: str) -> None:
+    """Add a commit's change rows or channels to a feed, stamped with the time of the write."""
+    rows.withColumn("commit_ts", F.current_timestamp()).write.mode("append").parquet(path)
 
-    Row security is part of the query, so a row that becomes visible or hidden is an
-    insert or delete. The last result is kept on the driver, so a range of more than
-    ``MAX_ROWS`` rows is refused.
-    """
 
-    MAX_ROWS = 10_000
+def purge_feed(feed: DataFrame, ts: str = "commit_ts", seconds: int = 3600) -> DataFrame:
+    """What stays of a feed of notices: those of the last hour."""
+    return changes.drop_stale(feed, ts, F.current_timestamp(), seconds)
+
 
-    def __init__(self, name: str, query: Callable[[], DataFrame], id_col: str = "id"):
-        self.name, self.query, self.id_col = name, query, id_col
-        self.last = self._rows()
+class Subscription:
+    """A live query: ``query`` reads the current snapshot, limited and secured.
 
-    def _rows(self) -> DataFrame:
-        rows = self.query()
-        found = rows.limit(self.MAX_ROWS + 1).collect()
-        if len(found) > self.MAX_ROWS:
-            raise ValueError(f"a live range holds at most {self.MAX_ROWS} rows")
-        return rows.sparkSession.createDataFrame(found, rows.schema)
+    Row security is part of the query, so a row that becomes visible or hidden is an
+    insert or delete. The last result is a table in the shared folder, of any size.
+    ``channels`` are those that concern it (an index, or a row); without any, every one does.
+    """
+
+    def __init__(self, name: str, query: Callable[[], DataFrame], id_col: str = "id", channels: Iterable[str] = ()):
+        self.name, self.query, self.id_col, self.channels = name, query, id_col, frozenset(channels)
+        self.streams: list[tuple[str, object, Callable[[DataFrame], None]]] = []
+        self.last = staged(query(), "live")
 
     def refresh(self) -> DataFrame:
-        now = self._rows()
-        delta = changes.delta(self.last, now, id_col=self.id_col)
-        self.last = now
-        return delta.drop("_version")
+        """The difference to the last result: _op and the row, without its version."""
+        before, self.last = self.last, staged(self.query(), "live")
+        delta = staged(changes.delta(before, self.last, id_col=self.id_col).drop("_version"), "delta")
+        for path in before.inputFiles()[:1]:
+            delete(before.sparkSession, path.rsplit("/", 1)[0])
+        for op, row, call in self.streams:
+            rows = delta.where(F.col("_op") == op) if op else delta.where(F.col(self.id_col) == row)
+            if not rows.isEmpty():
+                call(rows)
+        return delta
+
+    def on_add(self, call: Callable[[DataFrame], None]) -> None:
+        """Rows present now, then rows that come in."""
+        call(self.last.drop("_version"))
+        self.streams.append(("insert", None, call))
+
+    def on_remove(self, call: Callable[[DataFrame], None]) -> None:
+        """Ids of rows that leave the result."""
+        self.streams.append(("delete", None, lambda rows: call(rows.select(self.id_col))))
+
+    def on_row(self, row_id: object, call: Callable[[DataFrame], None]) -> None:
+        """Changes of one row, the last of which is its delete."""
+        self.streams.append(("", row_id, call))
+
+
+def row_subscription(table: Callable[[], DataFrame], name: str, column: str, value: object, visible: Callable[[DataFrame], DataFrame], id_col: str = "id") -> Subscription | None:
+    """A live query of the first row of an equality; None if there is none to be seen."""
+    found = visible(reads.get_row(table(), column, value, id_col=id_col)).select(id_col).first()
+    if not found:
+        return None
+    row_id = found[0]
+    query = lambda: visible(table().where(F.col(id_col) == row_id))
+    return Subscription(ids.subscription_id(name, id_col, row_id, None, 1), query, id_col, [f"{name}:id:{row_id}"])
 
 
 class Broker:
     """Subscriptions by name; the same query twice is one subscription."""
 
     def __init__(self) -> None:
-        self.subscriptions: dict[str, RangeSubscription] = {}
+        self.subscriptions: dict[str, Subscription] = {}
         self.users: dict[str, int] = {}
 
-    def subscribe(self, name: str, query: Callable[[], DataFrame], id_col: str = "id") -> RangeSubscription:
+    def subscribe(self, name: str, query: Callable[[], DataFrame], id_col: str = "id", channels: Iterable[str] = ()) -> Subscription:
         if name not in self.subscriptions:
-            self.subscriptions[name] = RangeSubscription(name, query, id_col)
+            self.subscriptions[name] = Subscription(name, query, id_col, channels)
+        return self.add(self.subscriptions[name])
+
+    def add(self, subscription: Subscription) -> Subscription:
+        """One more user of a subscription made elsewhere; a known name keeps the known one."""
+        name = subscription.name
         self.users[name] = self.users.get(name, 0) + 1
-        return self.subscriptions[name]
+        return self.subscriptions.setdefault(name, subscription)
 
     def unsubscribe(self, name: str) -> None:
         self.users[name] -= 1
@@ -80,14 +119,29 @@ class Broker:
     def count(self) -> int:
         return len(self.subscriptions)
 
-    def run(self, feed: DataFrame, send: Send, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-        """Send each subscription's difference after every batch with changes."""
+    def touched(self, batch: DataFrame, channel_col: str, ts: str, seconds: int) -> list[Subscription]:
+        """The subscriptions that fresh notices of a batch concern."""
+        watched = sorted({c for s in self.subscriptions.values() for c in s.channels})
+        known = batch.sparkSession.createDataFrame([(c,) for c in watched], f"`{channel_col}` string")
+        hit = {r[0] for r in concerned(batch, channel_col, known, ts=ts, seconds=seconds).collect()} if watched else set()
+        any_fresh = not changes.drop_stale(batch, ts, F.current_timestamp(), seconds).isEmpty()
+        return [s for s in self.subscriptions.values() if (s.channels & hit if s.channels else any_fresh)]
+
+    def run(self, feed: DataFrame, send: Send, checkpoint: str, trigger: dict | None = None, channel_col: str | None = None, ts: str = "commit_ts", seconds: int = 120) -> StreamingQuery:
+        """Send the difference of each subscription that a batch of the feed concerns.
+
+        With ``channel_col`` the feed holds notices: those older than ``seconds`` are
+        dropped, as one batch that has fallen behind gives the newest state anyway.
+        """
 
         def each(batch: DataFrame, _: int) -> None:
             if batch.isEmpty():
                 return
-            for name, subscription in list(self.subscriptions.items()):
-                send(name, subscription.refresh())
+            found = self.touched(batch, channel_col, ts, seconds) if channel_col else list(self.subscriptions.values())
+            for subscription in found:
+                delta = subscription.refresh()
+                if not delta.isEmpty():
+                    send(subscription.name, delta)
 
         return feed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "100 milliseconds"})).start()
 

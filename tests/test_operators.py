@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.functions import ids
-from lattica.operators import changes, clusters, guards, migrate, reads, schedule, security
+from lattica.operators import changes, clusters, guards, migrate, reads, schedule, security, stats
 from lattica.sources.schema import Column, Table, normal_type, status
 from lattica.sources.tables import conform
 
@@ -67,7 +67,7 @@ def test_random_ranges_against_brute_force(spark):
         want = sorted(((v, i) for i, v in rows if (v > low if a == "(" else v >= low) and (v < high if b == "(" else v <= high)), reverse=desc)
         got = reads.range_rows(df, "v", f"{a}{low}", f"{b}{high}", id_col="id", desc=desc, limit=limit).collect()
         got = [(r.v, r.id) for r in got]
-        assert sorted(got) == sorted(want) if limit < 0 else got == want[:limit]
+        assert got == (want if limit < 0 else want[:limit])
 
 
 def test_range_reaches_the_scan(spark, items, tmp_path):
@@ -113,6 +113,51 @@ def test_security(items):
     assert [security.may_read(p, security.Caller()) for p in ("EVERYBODY", "USER", "ADMIN", "?")] == [True, False, False, False]
 
 
+def test_row_rule_over_any_attribute(items):
+    """The row's value is compared as the type of the caller's."""
+    caller = security.Caller(11, group="110", address="10", user_data={"name": "Itm10", "limit": "12"})
+    count = lambda rule: security.secured(items, rule, caller).count()
+    assert count(("eq", "time", "group")) == 1 and count(("eq", "owner", "address")) == 25 and count(("eq", "name", "name")) == 1
+    assert count(("contains", "time", "limit")) == sum("12" in str(110 + i) for i in range(25))
+    assert count(("eq", "name", "caller")) == 0 and count(("eq", "owner", "user_data_x")) == 0
+
+
+EDIT = "id long, op string, new_v long, v long, _op string"
+
+
+def test_change_rules(spark):
+    """Faulty changes leave their rows alone, whatever the columns are called."""
+    snap = spark.createDataFrame([(1, "a", 1, 10, 1), (2, "b", 2, 20, 4), (3, "c", 3, 30, 1)], "id long, op string, new_v long, v long, _version int")
+    edits = spark.createDataFrame([(1, "a", 1, 11, "insert"), (4, "d", 4, 40, "insert"), (5, "e", 5, 50, "update"), (2, "b", 2, 20, "update"), (3, "x", 3, 30, "delete"), (6, "f", 6, 6, "delete"), (7, "g", 7, 7, "merge"), (8, "h", 8, 8, "upsert")], EDIT)
+    after = sorted(tuple(r) for r in changes.apply_changes(snap, edits, id_col="id").collect())
+    assert after == [(1, "a", 1, 10, 1), (2, "b", 2, 20, 4), (4, "d", 4, 40, 1), (8, "h", 8, 8, 1)]
+    faults = {(r.id, r.fault) for r in changes.rejected(snap, edits, id_col="id").collect()}
+    assert faults == {(1, "exists"), (5, "missing"), (2, "unchanged"), (6, "missing"), (7, "unknown")}
+
+
+def test_several_changes_of_one_id(spark):
+    snap = spark.createDataFrame([(1, 10, 1), (2, 20, 1)], "id long, v long, _version int")
+    edits = spark.createDataFrame([(1, 11, "update", 1), (1, 12, "update", 3), (1, 13, "update", 2), (2, 21, "update", 1)], "id long, v long, _op string, seq int")
+    assert sorted(tuple(r) for r in changes.apply_changes(snap, edits, id_col="id", order_col="seq").collect()) == [(1, 12, 2), (2, 21, 2)]
+    assert sorted(tuple(r) for r in changes.apply_changes(snap, edits, id_col="id").collect()) == [(1, 10, 1), (2, 21, 2)]
+    assert [tuple(r) for r in changes.rejected(snap, edits, id_col="id").collect()] == [(1, "update", "repeated")]
+
+
+def test_upsert_keeps_unchanged_rows_and_ids_of_unique_values(spark):
+    snap = spark.createDataFrame([(1, "a", 10, 3), (2, "b", 20, 5)], "id long, name string, v long, _version int")
+    rows = spark.createDataFrame([(1, "a", 10), (2, "b", 21), (3, "c", 30)], "id long, name string, v long")
+    assert sorted(tuple(r) for r in changes.upsert(snap, rows, id_col="id").collect()) == [(1, "a", 10, 3), (2, "b", 21, 6), (3, "c", 30, 1)]
+    rows = spark.createDataFrame([(90, "b", 22), (91, "d", 40)], "id long, name string, v long")
+    assert sorted(tuple(r) for r in changes.upsert(snap, rows, id_col="id", on="name").collect()) == [(1, "a", 10, 3), (2, "b", 22, 6), (91, "d", 40, 1)]
+    part = spark.createDataFrame([(1, 11), (4, 1)], "id long, v long")
+    assert sorted((tuple(r) for r in changes.upsert(snap, part, id_col="id").collect()), key=repr) == [(1, "a", 11, 4), (2, "b", 20, 5), (4, None, 1, 1)]
+
+
+def test_latest_of_updates(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z"), (None, 1, "n")], "k string, at long, v string")
+    assert sorted(((r.k, r.v) for r in changes.latest([rows.where("at < 2"), rows.where("at >= 2")], "k", "at").collect()), key=repr) == [("a", "y"), ("b", "z"), (None, "n")]
+
+
 def test_unique_swap_and_conflicts(spark):
     snap = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
     swap = spark.createDataFrame([(1, "b", "update"), (2, "a", "update")], "id long, name string, _op string")
@@ -138,6 +183,52 @@ def test_rate_limit_sequence(spark):
     assert [r.allowed for r in got] == [True, True, False, False, True]
 
 
+def test_flood_counts_start_again(spark):
+    """One call on the first day must not hide fifty in a minute a month later."""
+    day = 86_400
+    seconds = [("a", 0)] + [("a", 30 * day)] + [("a", 30 * day + 1 + i) for i in range(50)] + [("b", i) for i in range(3)] + [(None, 0)]
+    calls = spark.createDataFrame(seconds, "k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    assert sorted(tuple(r) for r in guards.flood_tiers(calls, "k", "ts", [(2, 60), (40, day)]).collect()) == [("a", 0, 50), ("a", 1, 50), ("b", 0, 3)]
+    assert guards.flood_tiers(calls.where("k = 'b'"), "k", "ts", [(2, 2), (3, day)]).count() == 0
+
+
+def test_pop_one_and_create_calls(spark):
+    calls = spark.createDataFrame([(2, 5.0, 60, 0.0), (1, 5.0, 0, 0.0), (3, 10.05, 0, 0.0)], "id long, scheduled double, timeout int, last_run double")
+    one = schedule.pop_due(calls, 10.0, limit=1)
+    assert sorted((r.id, r.scheduled) for r in one.collect()) == [(2, 5.0), (3, 10.05)]
+    assert sorted((r.id, r.scheduled) for r in schedule.pop_due(one, 10.0, limit=2).collect()) == [(2, 70.0)]
+    table = spark.createDataFrame([], schedule.CALLS)
+    rows = [schedule.call_row(1, 100.0, -10, "pay", 7, "x", [1, 2]), schedule.call_row(2, 100.0, 500.0, "tick", timeout=5, recurring=True, locked=False)]
+    stored = schedule.create_calls(table, rows)
+    assert sorted((r.id, r.scheduled, r.args) for r in stored.collect()) == [(1, 110.0, '[7, "x", [1, 2]]'), (2, 500.0, "[]")]
+    with pytest.raises(Exception, match="a call has id 1"):
+        schedule.create_calls(stored, [schedule.call_row(1, 1.0, 2.0, "pay")]).collect()
+    for bad in ({"timeout": 3}, {"timeout": 0, "recurring": True}, {"locked": False}):
+        with pytest.raises(ValueError):
+            schedule.call_row(1, 0.0, 1.0, "s", **bad)
+    for args in ((object(),), (float("nan"),), ((1, 2),), ("x" * 1100,)):
+        with pytest.raises(ValueError):
+            schedule.encode_args(args)
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "few", "skewed"])
+def test_percentiles(spark, kind, monkeypatch):
+    """Ranks narrowed in several passes equal those of a sort."""
+    monkeypatch.setattr(stats, "SLICE_ROWS", 50)
+    rng = random.Random(7)
+    draw = {"spread": lambda: rng.uniform(-1e6, 1e6), "ties": lambda: float(rng.randrange(5)), "few": lambda: rng.choice([0.0, 1e300, -1e300]), "skewed": lambda: 10 ** rng.uniform(-9, 9)}[kind]
+    values = [draw() for _ in range(6000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    got = stats.percentiles(df, "v", [0.0, 0.01, 0.25, 0.5, 0.95, 1.0]).first()
+    ordered = sorted(values)
+    for name, share in zip(("p0", "p1", "p25", "p50", "p95", "p100"), (0.0, 0.01, 0.25, 0.5, 0.95, 1.0), strict=True):
+        at = share * (len(ordered) - 1)
+        a, b = ordered[int(at)], ordered[min(int(at) + 1, len(ordered) - 1)]
+        assert got[name] == pytest.approx(a + (b - a) * (at % 1), rel=1e-12), name
+    assert stats.percentiles(df.where("v IS NULL"), "v", [0.5]).first().p50 is None
+    assert stats.percentiles(df.limit(1), "v", [0.25, 0.5]).first().p25 == pytest.approx(values[0])
+
+
 def test_schedules(spark):
     calls = spark.createDataFrame([(1, 5.0, 0, 0.0), (2, 5.0, 60, 0.0), (3, 50.0, 0, 0.0)], "id long, scheduled double, timeout int, last_run double")
     assert sorted((r.id, r.scheduled, r.last_run) for r in schedule.pop_due(calls, 10.0).collect()) == [(2, 70.0, 10.0), (3, 50.0, 0.0)]
@@ -172,6 +263,34 @@ def test_clusters(spark):
     assert got == {"c1": 0, "c2": 0, "c3": 1, "c4": 1}
 
 
+def test_connected_chains(spark):
+    """A long chain, a star and pairs settle to one label each."""
+    rng = random.Random(3)
+    edges = [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(200)] + [("s", f"s{i}") for i in range(40)] + [(f"p{i}", f"q{i}") for i in range(5)]
+    rng.shuffle(edges)
+    got = {r.node: r.component for r in clusters.connected(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()}
+    assert len(got) == 201 + 41 + 10 and all(got[n] == ("n0000" if n[0] == "n" else "s" if n[0] == "s" else "p" + n[1:]) for n in got)
+
+
+def test_migration_chain(spark):
+    rows = spark.range(3)
+    steps = {"a": ("b", lambda df: df.withColumn("x", F.col("id") + 1)), "b": ("c", lambda df: df.withColumn("y", F.col("x") * 2))}
+    assert sorted(r.y for r in migrate.run_chain(rows, "a", steps, "c").collect()) == [2, 4, 6] and migrate.run_chain(rows, "c", steps, "c") is rows
+    with pytest.raises(ValueError, match="no step"):
+        migrate.run_chain(rows, "c", steps, "z")
+    with pytest.raises(ValueError, match="return"):
+        migrate.run_chain(rows, "a", {"a": ("b", lambda d: d), "b": ("a", lambda d: d)}, "z")
+
+
+def test_new_ids(spark):
+    made = spark.range(0, 20_000, 1, 7).select(ids.new_ids(ids.EPOCH_MS + 5).alias("id"))
+    got = [r.id for r in made.collect()]
+    assert len(set(got)) == 20_000 and min(got) >= 5 << 22
+    texts = ["", "a", "a\u0000", "ab", "b", "é"]
+    hexes = [r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").select(ids.sortable_hex(F.col("t"), "text").alias("h")).collect()]
+    assert hexes == sorted(hexes)
+
+
 def test_ids(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "k string").select(ids.key_id("k").alias("i"))
     got = [r.i for r in df.collect()]
