@@ -30,44 +30,50 @@ def percentiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
     values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     names = [f"p{round(s * 100)}" for s in shares]
     schema = ", ".join(f"{n} double" for n in names)
-    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    row = values.agg(F.count("v"), F.min("v"), F.max("v"), _marks()).first()
+    n, low, high = row[:3]
     if not n:
         return df.sparkSession.createDataFrame([tuple(None for _ in names)], schema)
-    cuts, found = {}, {}
-    for rank in sorted({r for s in shares for r in (int(s * (n - 1)), min(int(s * (n - 1)) + 1, n - 1))}):
-        if rank not in found:
-            found |= _values_at(values, rank, low, high, n, cuts)
-    spot = lambda s: (found[int(s * (n - 1))], found[min(int(s * (n - 1)) + 1, n - 1)], s * (n - 1) % 1)
+    cuts: dict = {(low, high): _counted(values, low, high, row[3])}
+    below = {s: int(s * (n - 1)) for s in shares}
+    spots = {r: _narrowed(values, r, low, high, n, cuts) for s in shares for r in (below[s], min(below[s] + 1, n - 1))}
+    # The few rows of each range that is left, sorted, in one pass.
+    ranges = sorted({(a, b) for a, b, _ in spots.values()})
+    kept = values.agg(*[F.sort_array(F.collect_list(F.when(F.col("v").between(a, b), F.col("v")))) if a < b else F.array(F.lit(a)) for a, b in ranges]).first()
+    value = {r: kept[ranges.index((a, b))][r - base if a < b else 0] for r, (a, b, base) in spots.items()}
+    spot = lambda s: (value[below[s]], value[min(below[s] + 1, n - 1)], s * (n - 1) % 1)
     return df.sparkSession.createDataFrame([tuple(a + (b - a) * part for a, b, part in map(spot, shares))], schema)
 
 
-def _values_at(values: DataFrame, rank: int, low: float, high: float, rows: int, cuts: dict) -> dict[int, float]:
-    """The values of ``rank`` and of the next one as far as the slice that holds it tells.
+def _marks() -> Column:
+    return F.percentile_approx("v", [i / SLICES for i in range(1, SLICES)], SLICES * 10)
 
-    ``cuts`` keeps what a range's pass has counted, for other ranks of the same range.
+
+def _counted(values: DataFrame, low: float, high: float, marks: list[float]) -> list[tuple[float, bool, int]]:
+    """(mark, whether it counts, values of the range below or up to it), ascending."""
+    marks = sorted(set(marks))
+    counts = values.where(F.col("v").between(low, high)).agg(*[c for m in marks for c in (F.count_if(F.col("v") < m), F.count_if(F.col("v") <= m))]).first()
+    return [(m, own, counts[2 * i + own]) for i, m in enumerate(marks) for own in (False, True)]
+
+
+def _narrowed(values: DataFrame, rank: int, low: float, high: float, rows: int, cuts: dict) -> tuple[float, float, int]:
+    """A range of values that holds the rank and few rows, or one value, and the rows below it.
+
+    ``cuts`` keeps what the pass over a range has counted, for all ranks in it.
     """
     base = 0
     while rows > SLICE_ROWS and low < high:
         if (low, high) not in cuts:
-            part = values.where(F.col("v").between(low, high))
-            marks = sorted(set(part.agg(F.percentile_approx("v", [i / SLICES for i in range(1, SLICES)], SLICES * 10)).first()[0]))
-            cuts[low, high] = marks, list(part.agg(*[F.count_if(F.col("v") < m) for m in marks], *[F.count_if(F.col("v") <= m) for m in marks]).first())
-        marks, counts = cuts[low, high]
-        # Ends of half-open ranges: values below a mark, then the mark itself.
-        ends = sorted([(c, m, False) for m, c in zip(marks, counts[: len(marks)], strict=True)] + [(c, m, True) for m, c in zip(marks, counts[len(marks) :], strict=True)], key=lambda e: (e[1], e[2]))
-        below = max(((c, m, own) for c, m, own in ends if base + c <= rank), key=lambda e: (e[1], e[2]), default=None)
-        above = min(((c, m, own) for c, m, own in ends if base + c > rank), key=lambda e: (e[1], e[2]), default=None)
-        if above and above[2] and below and below[1] == above[1]:
-            return {r: above[1] for r in range(rank, min(rank + 2, base + above[0]))}
-        new_low = math.nextafter(below[1], math.inf) if below and below[2] else below[1] if below else low
-        new_high = math.nextafter(above[1], -math.inf) if above and not above[2] else above[1] if above else high
-        kept = (above[0] if above else rows) - (below[0] if below else 0)
-        base += below[0] if below else 0
-        low, high, rows = new_low, new_high, kept
-    if low == high:
-        return {r: low for r in range(rank, min(rank + 2, base + rows))}
-    got = values.where(F.col("v").between(low, high)).orderBy("v").offset(rank - base).limit(2).collect()
-    return {rank + i: r.v for i, r in enumerate(got)}
+            cuts[low, high] = _counted(values, low, high, values.where(F.col("v").between(low, high)).agg(_marks()).first()[0])
+        under = max((x for x in cuts[low, high] if base + x[2] <= rank), default=None)
+        over = min((x for x in cuts[low, high] if base + x[2] > rank), default=None)
+        rows = (over[2] if over else rows) - (under[2] if under else 0)
+        base += under[2] if under else 0
+        if under:
+            low = math.nextafter(under[0], math.inf) if under[1] else under[0]
+        if over:
+            high = over[0] if over[1] else math.nextafter(over[0], -math.inf)
+    return low, high, base
 
 
 def count_where(df: DataFrame, **conditions: Column) -> DataFrame:
