@@ -1,22 +1,28 @@
 """License scans: ordered signature rules over whole texts, in SQL expressions alone.
 
 A rule is a regular expression with a keyword that every match must contain. A text is
-looked at by the rules whose keyword it contains, and only if it contains any. Every
-match is an interval of characters with its rule's priority. In order of start, a
+looked at by the rules whose keyword it contains, and only if a word begins with any; one
+regular expression tells that. Every match is an interval of characters with its rule's priority. In order of start, a
 detection is dropped when one of equal or higher priority before it reaches as far: it
 lies inside that one. What stays gives labels and a score.
 
-Rules are written per family as names, versions and phrasings (:func:`rules`), some
-hundreds in all. Everything is a projection of one row: no shuffle, no join.
+Rules are identifiers, names and versions per family, and the wording of grants, notices
+and disclaimers (:mod:`lattica.llm.license_texts`), some hundreds in all. Patterns are
+literals, so a task compiles each once. Places of matches are running sums of lengths,
+taken block by block, so a text of very many matches takes time in proportion to them.
+Everything is a projection of one row: no shuffle, no join.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.license_texts import TEXTS
+
 #: Characters that are no part of a word, as fixed by the task.
 _SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -127,6 +133,23 @@ OTHERS: tuple[tuple[str, str, str, int, float], ...] = (
 )
 
 
+_TOKEN = re.compile(r"\(([^()]*)\)(\??)|((?:\[[^\]]*\](?:\{[^}]*\})?|[^\s\[])+)")
+def phrase_pattern(phrase: str) -> str:
+    """The regular expression of a phrase of :data:`TEXTS`."""
+    out = ""
+    for m in _TOKEN.finditer(phrase):
+        part = m[3] or "(?:" + re.sub(r"[ ]+(?![^\[]*\])", lambda _: G, m[1]) + ")"
+        out += f"(?:{part}{G})?" if m[2] else part + G
+    return out[: -len(G)] if out.endswith(G) else out
+
+
+def phrase_keyword(phrase: str) -> str:
+    """The longest run of letters at the beginning of a word that every match of a phrase holds."""
+    words = [m[3] for m in _TOKEN.finditer(phrase) if m[3]]
+    fixed = [w for word in words for w in re.findall(r"\A[a-z0-9]+(?![?{*a-z0-9])|\A[a-z0-9]+(?=[a-z0-9][?{*])", word)]
+    return max((w for w in fixed if w not in _GATES), key=len)
+
+
 #: Labels whose phrases do not follow "licensed under".
 _ALONE = ("unknown", "copyright", "reserved", "proprietary", "commercial", "non-commercial", "public-domain")
 
@@ -164,14 +187,41 @@ def rules() -> list[Rule]:
         add(label, "attribution", rf"creative{G}commons{G}{full}{RIGHT}", 3, 0.8)
     for label, keyword, pattern, priority, weight in OTHERS:
         add(label, keyword, rf"(?:{pattern}){RIGHT}", priority, weight)
+    for label, weight, phrase in (t for texts in TEXTS.values() for t in texts):
+        out.append(Rule(f"r{len(out):03d}-{label}", label, phrase_keyword(phrase), f"{LEFT}(?:{phrase_pattern(phrase)}){RIGHT}", 2 if weight >= 0.8 else 3 if weight >= 0.5 else 4, weight))
     return sorted(out, key=lambda r: r.priority)
 
 
+#: Words that may begin otherwise than the keyword of their rule.
+_BEGINNINGS = {"gpl": ("gpl", "agpl", "lgpl"), "bsd": ("bsd", "freebsd", "0bsd"), "commercial": ("commercial", "noncommercial")}
+
+
+def _beginnings(found: list[Rule]) -> dict[str, list[str]]:
+    """Of each keyword the word beginnings that open its rules; none of all is a prefix of another."""
+    own = {r.keyword: _BEGINNINGS.get(r.keyword, (r.keyword,)) for r in found}
+    every = {b for bs in own.values() for b in bs}
+    least = {b: min((a for a in every if b.startswith(a)), key=len) for b in every}
+    return {k: sorted({least[b] for b in bs}) for k, bs in own.items()}
+
+
+def opening(found: list[Rule]) -> str:
+    """A regular expression that every match of every rule holds: one of the rules' keywords
+    at the beginning of a word. It is looked for at beginnings only, first letter first."""
+    by_letter: dict[str, list[str]] = {}
+    for a in sorted({b for bs in _beginnings(found).values() for b in bs}):
+        by_letter.setdefault(a[0], []).append(a[1:])
+    return f"{LEFT}(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")"
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Lengths of all matches of a rule and of what stands before, between and after them.
+_CUT = "struct<label: string, priority: int, weight: double, hits: array<int>, gaps: array<int>>"
 _SPAN = "struct<begin: int, behind: int, priority: int, label: string, weight: double>"
+#: Matches whose places are summed up in one go; arrays of more would be copied too often.
+_BLOCK = 64
 
 
 #: What else every match holds for the rules of a keyword that is too common alone.
@@ -181,13 +231,10 @@ _GATES = {
 }
 
 
-def _gates(keyword: str, text: str) -> str:
-    cases = " ".join(f"WHEN {_quote(k)} THEN {text} RLIKE {_quote(p)}" for k, p in _GATES.items())
-    return f"(CASE {keyword} {cases} ELSE true END)"
-
+def _detections(text: str, begins: str, found: list[Rule]) -> str:
+    """SQL for all intervals in ``text`` of the rules that its keywords let through, in order.
 
-def _detections(text: str, found: list[Rule]) -> str:
-    """SQL for all intervals in ``text`` of the rules that its keywords let through.
+    ``begins`` is the array of what :func:`opening` finds in it.
 
     ``behind`` is the negated end, so that the natural order of the structs is by start,
     longest first, then priority.
@@ -195,23 +242,31 @@ def _detections(text: str, found: list[Rule]) -> str:
     groups: dict[str, list[Rule]] = {}
     for r in found:
         groups.setdefault(r.keyword, []).append(r)
-    row = lambda r: f"struct({_quote(r.label)}, {_quote(r.pattern)}, {r.priority}, {r.weight}D)"
-    table = ", ".join(f"struct({_quote(k)}, array({', '.join(map(row, rs))}))" for k, rs in groups.items())
-    table = f"cast(array({table}) as array<struct<keyword: string, rules: array<struct<label: string, pattern: string, priority: int, weight: double>>>>)"
-    opened = f"flatten(transform(filter({table}, g -> contains({text}, g.keyword) AND {_gates('g.keyword', text)}), g -> g.rules))"
-    opened = f"filter({opened}, r -> {text} RLIKE r.pattern)"
-    cut = f"transform({opened}, r -> struct(r, regexp_extract_all({text}, r.pattern, 0) AS hits, split({text}, r.pattern) AS gaps))"
+    # Within the lambda patterns are literals of an interpreted expression, not of generated code.
+    lengths = lambda strings: f"transform({strings}, s -> length(s))"
+    cut = lambda r, p: f"IF(x.t RLIKE {p}, struct({_quote(r.label)}, {r.priority}, {r.weight}D, {lengths(f'regexp_extract_all(x.t, {p}, 0)')}, {lengths(f'split(x.t, {p})')}), NULL)"
+    starts = _beginnings(found)
+
+    def opens(k: str) -> str:
+        word = " OR ".join(f"array_contains(x.b, {_quote(b)})" for b in starts[k])
+        return f"({word})" + (f" AND contains(x.t, {_quote(k)})" if starts[k] != [k] else "") + (f" AND x.t RLIKE {_quote(_GATES[k])}" if k in _GATES else "")
+
+    tables = ", ".join(f"IF({opens(k)}, array({', '.join(cut(r, _quote(r.pattern)) for r in rs)}), NULL)" for k, rs in groups.items())
+    cuts = f"cast(filter(flatten(filter(array({tables}), g -> g IS NOT NULL)), c -> c IS NOT NULL) as array<{_CUT}>)"
+    cuts = f"flatten(transform(array(struct({text} AS t, {begins} AS b)), x -> {cuts}))"
+    # Each transform names what the next one uses more than once.
+    cuts = f"transform({cuts}, c -> struct(c.label, c.priority, c.weight, c.gaps, transform(c.hits, (h, i) -> h + c.gaps[i]) AS steps))"
+    sums = f"transform(sequence(0, (size(c.steps) - 1) div {_BLOCK}), b -> aggregate(slice(c.steps, b * {_BLOCK} + 1, {_BLOCK}), 0, (at, n) -> at + n))"
+    bases = f"aggregate({sums}, struct(0 AS at, cast(array() AS array<int>) AS bases), (acc, n) -> struct(acc.at + n AS at, array_append(acc.bases, acc.at) AS bases), acc -> acc.bases)"
+    cuts = f"transform({cuts}, c -> struct(c.label, c.priority, c.weight, c.gaps, c.steps, {bases} AS bases))"
     spans = f"""
-        aggregate(sequence(0, size(c.hits) - 1),
-            struct(0 AS at, cast(array() as array<{_SPAN}>) AS spans),
+        aggregate(sequence(b * {_BLOCK}, least(size(c.steps), (b + 1) * {_BLOCK}) - 1),
+            struct(base AS at, cast(array() AS array<{_SPAN}>) AS spans),
             (acc, k) -> struct(
-                acc.at + length(c.gaps[k]) + length(c.hits[k]) AS at,
-                array_append(acc.spans, struct(
-                    acc.at + length(c.gaps[k]) AS begin,
-                    -(acc.at + length(c.gaps[k]) + length(c.hits[k])) AS behind,
-                    c.r.priority AS priority, c.r.label AS label, c.r.weight AS weight)) AS spans),
+                acc.at + c.steps[k] AS at,
+                array_append(acc.spans, struct(acc.at + c.gaps[k] AS begin, -(acc.at + c.steps[k]) AS behind, c.priority AS priority, c.label AS label, c.weight AS weight)) AS spans),
             acc -> acc.spans)"""
-    return f"array_sort(flatten(transform({cut}, c -> {spans})))"
+    return f"array_sort(flatten(transform({cuts}, c -> flatten(transform(c.bases, (base, b) -> {spans})))))"
 
 
 def _resolve(detections: str) -> str:
@@ -257,13 +312,12 @@ def scan_licenses(docs: DataFrame, extra: list[Rule] | None = None, id_col: str
     any_base = F.col("n_base") > 0
     is_phrase = lambda p: F.col("raw").rlike("(?i)" + _phrase(p))
     base_labels = F.array_compact(F.array(*[F.when(any_base & is_phrase(p), F.lit(label)) for p, label in BASE]))
-    opens = lambda k: f"contains(low, {_quote(k)})" + (f" AND low RLIKE {_quote(_GATES[k])}" if k in _GATES else "")
-    gate = F.expr(" OR ".join(f"({opens(k)})" for k in sorted({r.keyword for r in found}, key=lambda k: (k in _GATES, k))))
+    rows = rows.withColumn("begins", F.array_distinct(F.regexp_extract_all("low", F.lit(opening(found)), F.lit(0))))
     rows = rows.withColumns({
         "first_word": F.when(any_base, words(gaps[0])),
         "last_word": F.when(any_base, F.col("n_words") - words(F.element_at(gaps, -1)) - words(F.element_at(hits, -1))),
         "base": base_labels,
-        "found": F.when(gate, F.expr(_resolve(_detections("low", found)))),
+        "found": F.when(F.size("begins") > 0, F.expr(_resolve(_detections("low", "begins", found)))),
     })
     every = F.array_sort(F.array_union("base", F.coalesce(F.col("found.labels"), F.array().cast("array<string>"))))
     score = F.coalesce(1.0 - F.col("found.miss"), F.lit(0.0))

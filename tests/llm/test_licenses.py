@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from helpers import AWKWARD, awkward, empty
@@ -58,6 +59,53 @@ def test_labels(spark):
         assert got[i].score == pytest.approx(score) and (got[i].score > 0) == bool(labels)
 
 
+TEXTS = {
+    "Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated documentation files": "mit",
+    "* Redistributions in binary form must reproduce the above copyright notice, this list of conditions": "bsd",
+    "Unless required by applicable law or agreed to in writing, software\n// distributed under the License": "apache-2.0",
+    "either version 3 of the License, or (at your option) any later version": "gpl-3.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "The Software shall be used for Good, not Evil.": "json",
+    "\u201cThe origin of this software must not be misrepresented\u201d": "zlib",
+    "Unauthorized copying of this file, via any medium is strictly prohibited": "proprietary",
+    "You may not reverse engineer, decompile, or disassemble": "proprietary",
+    "Tous droits r\u00e9serv\u00e9s": "reserved",
+}
+
+
+def test_wordings(spark):
+    """Wordings of license texts, as they stand in comments and with odd punctuation."""
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for r in X.scan_licenses(df).collect():
+        text, want = list(TEXTS.items())[r.doc_id]
+        assert want in r.labels.split(","), (text, r.labels)
+        assert r.score == pytest.approx(resolve(text)[1]), text
+
+
+def test_many_matches_in_one_text(spark):
+    """50,000 matches take seconds and give what the slow resolver gives of as many kinds."""
+    few = "all rights reserved, licensed under the MIT license; copyright 2020 copyrighted cc by 4.0 gpl v3 " * 40
+    many = "all rights reserved " * 50_000 + few
+    df = spark.createDataFrame([(1, few), (2, many), (3, "x")], "doc_id long, text string")
+    X.scan_licenses(df.where("doc_id = 3")).collect()
+    began = time.time()
+    got = {r.doc_id: r for r in X.scan_licenses(df).collect()}
+    assert time.time() - began < 20
+    labels, score = resolve(few)
+    assert set(got[1].labels.split(",")) == labels | {"reserved", "cc-by"} == set(got[2].labels.split(",")) and got[1].score == pytest.approx(score)
+    assert got[2].n_base == 50_000 + got[1].n_base
+
+
+@pytest.mark.parametrize("copies", [1, 63, 64, 65, 200])
+def test_places_across_blocks(spark, copies):
+    """Overlapping detections far into a text are resolved by their places."""
+    text = "copyright 2020 " * copies + "GNU Lesser General Public License v2.1 " * copies
+    got = X.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    labels, score = resolve(text)
+    assert set(got.labels.split(",")) == labels | {"gpl"} and got.score == pytest.approx(score)
+
+
 def test_rule_table():
     rules = X.rules()
     assert len(rules) >= 300 and len({r.name for r in rules}) == len(rules)
@@ -111,12 +159,13 @@ def example(rng, parsed):
 
 
 def test_keywords_and_gates_are_implied():
-    rng = random.Random(1)
+    rng, gate = random.Random(1), X.opening(X.rules())
     for r in X.rules():
         parsed = re._parser.parse(r.pattern)
         for _ in range(30):
             text = example(rng, parsed)
             if re.search(r.pattern, text):
+                assert re.search(gate, text), (r, text)
                 assert r.keyword in text and re.search(X._GATES.get(r.keyword, ""), text), (r, text)
 
 
