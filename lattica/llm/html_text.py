@@ -1,10 +1,13 @@
 """Main text of web pages: flat text blocks classified by a small decision tree.
 
 A page becomes a flat list of text blocks, cut at block-level tags. Each block has its
-word count and link density, those of its neighbours before and after, and what stands
+word count and link density, those of its neighbours before and after, what stands
 around it: page furniture (nav, header, footer, aside, form), a telling class or id
-(advert, cookie, comment, ...), an article or main element. A decision tree of Gini
+(advert, cookie, comment, ...), an article or main element; and how much of the page's
+running text stands in neither furniture nor telling elements. A decision tree of Gini
 splits, trained here on the labelled blocks of ``LABELLED``, says which are main text.
+Class words are one feature among these: those of an article or main element say
+nothing, and where all text of a page stands under one they do not hide it.
 """
 
 from __future__ import annotations
@@ -165,7 +168,7 @@ def blocks_of(page: str) -> list[Block]:
                 furniture, article = 0, 1
             elif name in _FURNITURE or name == "header" and not article:
                 furniture = 1
-            if m[4] and not telling:
+            if m[4] and not telling and name not in ("article", "main"):
                 telling = int(any(not _TELLING.isdisjoint(re.split(r"[^a-z]+", v.lower())) for v in _ATTRIBUTE.findall(m[4])) and name != "body")
             stack.append((name, furniture, telling, article))
     close()
@@ -173,11 +176,14 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def features(rows: list[tuple[int, float, int, int, int]]) -> np.ndarray:
-    """Words, link density, both of the block before and after (0, 0 at the ends), surroundings."""
+    """Words, link density, both of the block before and after (0, 0 at the ends), surroundings,
+    and the share of the page's unlinked words outside furniture and telling elements."""
     own = np.array(rows, float).reshape(-1, 5)
     edge = np.zeros((1, 2))
     before, after = np.vstack([edge, own[:-1, :2]]), np.vstack([own[1:, :2], edge])
-    return np.hstack([own[:, :2], before, after, own[:, 2:]])
+    running = own[:, 0] * (1 - own[:, 1])
+    plain = running[(own[:, 2] == 0) & (own[:, 3] == 0)].sum() / max(running.sum(), 1.0)
+    return np.hstack([own[:, :2], before, after, own[:, 2:], np.full((len(own), 1), plain)])
 
 
 #: Labelled pages: (words, link density, in furniture, telling class, in an article, main text).
@@ -207,6 +213,36 @@ LABELLED: tuple[tuple[tuple[int, float, int, int, int, int], ...], ...] = (
     ((15, 1.0, 0, 0, 0, 0), (25, 0.0, 0, 0, 0, 1), (40, 0.05, 0, 0, 0, 1), (18, 0.9, 0, 0, 0, 0), (5, 0.0, 0, 0, 0, 0)),
     ((25, 1.0, 1, 0, 0, 0), (9, 0.0, 0, 0, 1, 1), (70, 0.0, 0, 0, 1, 1), (6, 0.0, 0, 0, 1, 1)),
     ((12, 1.0, 0, 0, 0, 0), (4, 0.0, 0, 0, 1, 1), (40, 0.0, 0, 0, 1, 1), (8, 0.0, 0, 0, 1, 1), (15, 1.0, 0, 0, 0, 0), (6, 0.0, 0, 0, 0, 0)),
+    # All text under a class such as social-post or side-effects, with and without a menu and a footer.
+    ((7, 0.0, 0, 1, 0, 1), (60, 0.0, 0, 1, 0, 1), (85, 0.02, 0, 1, 0, 1), (30, 0.1, 0, 1, 0, 1)),
+    ((4, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 0, 0, 0), (8, 0.0, 0, 1, 0, 1), (70, 0.0, 0, 1, 0, 1), (16, 0.0, 0, 1, 0, 1), (44, 0.0, 0, 1, 0, 1), (10, 0.0, 1, 0, 0, 0)),
+    ((3, 1.0, 1, 0, 0, 0), (18, 0.0, 0, 1, 0, 1), (22, 0.0, 0, 1, 0, 1), (6, 0.0, 1, 1, 0, 0), (4, 1.0, 0, 1, 0, 0)),
+    # Paragraphs that are mostly or wholly a link, between paragraphs of an article, and link lists at its end.
+    ((9, 0.0, 0, 0, 1, 1), (40, 0.0, 0, 0, 1, 1), (18, 0.75, 0, 0, 1, 1), (52, 0.0, 0, 0, 1, 1), (12, 1.0, 0, 0, 1, 1), (33, 0.0, 0, 0, 1, 1), (4, 1.0, 0, 0, 1, 0), (5, 1.0, 0, 0, 1, 0)),
+    ((6, 0.0, 0, 0, 1, 1), (11, 0.0, 0, 0, 1, 1), (16, 0.7, 0, 0, 1, 1), (12, 0.0, 0, 0, 1, 1), (15, 0.6, 0, 0, 1, 1), (20, 0.05, 0, 0, 1, 1), (24, 0.8, 0, 0, 1, 1), (14, 0.0, 0, 0, 1, 1)),
+    ((5, 1.0, 1, 0, 0, 0), (8, 0.0, 0, 0, 1, 1), (28, 0.1, 0, 0, 1, 1), (10, 0.9, 0, 0, 1, 1), (35, 0.0, 0, 0, 1, 1), (3, 1.0, 0, 0, 1, 0), (7, 1.0, 0, 0, 1, 0), (6, 1.0, 0, 0, 1, 0), (9, 0.0, 1, 0, 0, 0)),
+    # Plain pages that end in a short paragraph, or are nothing but one.
+    ((12, 0.0, 0, 0, 0, 1),),
+    ((4, 0.0, 0, 0, 0, 1),),
+    ((8, 0.0, 0, 0, 0, 1), (40, 0.0, 0, 0, 0, 1), (9, 0.0, 0, 0, 0, 1)),
+    ((20, 0.0, 0, 0, 0, 1), (6, 0.0, 0, 0, 0, 1)),
+    ((3, 1.0, 0, 0, 0, 0), (2, 1.0, 0, 0, 0, 0), (7, 0.0, 0, 0, 0, 1), (55, 0.0, 0, 0, 0, 1), (12, 0.0, 0, 0, 0, 1), (5, 0.0, 0, 0, 0, 1)),
+    ((2, 1.0, 1, 0, 0, 0), (30, 0.0, 0, 0, 0, 1), (10, 0.0, 0, 0, 0, 1), (3, 0.0, 1, 0, 0, 0)),
+    # Bread crumbs and share links within main, before, between and after long paragraphs.
+    ((1, 1.0, 0, 0, 1, 0), (2, 1.0, 0, 0, 1, 0), (50, 0.0, 0, 0, 1, 1), (2, 1.0, 0, 0, 1, 0), (3, 1.0, 0, 0, 1, 0), (64, 0.0, 0, 0, 1, 1), (4, 0.8, 0, 0, 1, 0), (5, 0.8, 0, 0, 0, 0)),
+    ((3, 1.0, 0, 0, 1, 0), (40, 0.0, 0, 0, 1, 1), (2, 1.0, 0, 0, 1, 0), (36, 0.1, 0, 0, 1, 1), (6, 0.8, 0, 0, 1, 0), (4, 1.0, 0, 0, 1, 0)),
+    ((2, 1.0, 0, 0, 0, 0), (45, 0.0, 0, 0, 0, 1), (5, 0.8, 0, 0, 0, 0), (90, 0.0, 0, 0, 0, 1), (6, 0.8, 0, 0, 0, 0), (3, 1.0, 0, 0, 0, 0)),
+    # A recipe: short lines of a list, then steps.
+    ((3, 0.0, 0, 0, 1, 1), (25, 0.0, 0, 0, 1, 1), (4, 0.0, 0, 0, 1, 1), (3, 0.0, 0, 0, 1, 1), (5, 0.0, 0, 0, 1, 1), (4, 0.25, 0, 0, 1, 1), (30, 0.0, 0, 0, 1, 1), (2, 0.5, 0, 1, 1, 0), (6, 0.0, 0, 1, 0, 0)),
+    # Documentation: menu of many links in furniture, code and short notes in main.
+    ((2, 1.0, 1, 0, 0, 0), (3, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 0, 0, 0), (4, 0.0, 0, 0, 1, 1), (20, 0.2, 0, 0, 1, 1), (2, 0.0, 0, 0, 1, 1), (9, 0.0, 0, 0, 1, 1), (14, 0.3, 0, 0, 1, 1), (3, 0.0, 1, 0, 0, 0)),
+    # A forum page: the first post in the article, replies under telling classes.
+    ((6, 0.0, 0, 0, 1, 1), (48, 0.0, 0, 0, 1, 1), (19, 0.0, 0, 0, 1, 1), (2, 0.5, 0, 1, 0, 0), (35, 0.0, 0, 1, 0, 0), (62, 0.05, 0, 1, 0, 0), (28, 0.0, 0, 1, 0, 0), (3, 0.0, 1, 1, 0, 0)),
+    # A short notice, a long consent dialogue and a small article between them.
+    ((30, 0.05, 0, 1, 0, 0), (55, 0.1, 1, 1, 0, 0), (6, 0.0, 0, 0, 0, 1), (24, 0.0, 0, 0, 0, 1), (31, 0.0, 0, 0, 0, 1), (7, 0.3, 0, 1, 0, 0)),
+    ((12, 0.2, 0, 1, 0, 0), (5, 0.0, 0, 0, 1, 1), (15, 0.0, 0, 0, 1, 1), (20, 0.0, 0, 1, 0, 0), (26, 0.1, 0, 1, 0, 0), (14, 1.0, 1, 0, 0, 0)),
+    # A shop page: product text plain, adverts and ratings telling, links around.
+    ((25, 1.0, 0, 0, 0, 0), (5, 0.0, 0, 0, 0, 1), (38, 0.0, 0, 0, 0, 1), (16, 0.0, 0, 0, 0, 1), (10, 0.0, 0, 1, 0, 0), (22, 0.1, 0, 1, 0, 0), (30, 1.0, 0, 0, 0, 0), (4, 0.0, 0, 0, 0, 0)),
     # A front page: teasers are links.
     ((9, 1.0, 0, 0, 0, 0), (12, 1.0, 0, 0, 0, 0), (10, 1.0, 0, 0, 0, 0), (8, 0.9, 0, 0, 0, 0), (3, 0.0, 0, 0, 0, 0), (11, 1.0, 0, 0, 0, 0)),
 )
@@ -230,7 +266,7 @@ class Tree(NamedTuple):
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 7) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9) -> Tree:
     """The tree that splits by Gini impurity down to pure leaves or ``depth``."""
     label = bool(y.mean() >= 0.5)
     if depth == 0 or y.min() == y.max():

@@ -5,6 +5,7 @@ import duckdb
 from helpers import awkward
 
 from lattica.llm import html_text as X
+from lattica.llm import queries
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>no";</script><style>p{}</style></head><body class="article">
 <header><a href=/>Home</a> <a href=/b>About us</a></header><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>
@@ -57,7 +58,44 @@ def test_rows(spark):
     out = X.extract_text(df).collect()
     assert sorted((r.page_id or 0, r.url or "", r.n_chars) for r in out) == [(0, "v", 0), (1, "u", len(X.main_text(PAGE))), (1, "u", len(X.main_text(PAGE))), (2, "", 0)]
     assert X.extract_text(df.where("false")).count() == 0
-    assert awkward(spark).count() > 0
+    clash = awkward(spark).selectExpr('doc_id AS page_id', 'source AS url', 'text AS html', '*')
+    got = sorted(((r.page_id, r.n_chars, r.text) for r in X.extract_text(clash).collect()), key=repr)
+    want = [(r.page_id, X.main_text(r.html or '')) for r in clash.collect()]
+    assert got == sorted(((i, len(t), t) for i, t in want), key=repr)
+
+
+def test_class_words_do_not_hide_the_article():
+    one = "This is the first paragraph of a fine article about rivers and lakes, long enough to count."
+    two = "And here is a second paragraph with some more words that belong to the same story."
+    body = f"<p>{one}</p><p>{two}</p>"
+    for tag in ("article class='post notice'", "article class='social-post'", "article id='side-effects'", "main class=search role=complementary", "div class='social-post'", "section id=legal-news"):
+        for around in ("{}", "<nav><a href=1>One</a> <a href=2>Two</a></nav>{}<footer>All of us</footer>"):
+            assert X.main_text(around.format(f"<{tag}>{body}</{tag.split()[0]}>")) == f"{one} {two}", tag
+    # Telling elements beside or within an article still go.
+    for extra in ("<div class='share'>Share this on all networks now</div>", "<div class=comments><p>I am a reader and I have an opinion that nobody asked for.</p></div>"):
+        assert X.main_text(f"<article>{body}{extra}</article>") == X.main_text(f"<article>{body}</article>{extra}") == f"{one} {two}"
+
+
+def test_neighbours_decide_on_links():
+    one, two = ("These are the words of a paragraph in the article, more than a line of them." for _ in range(2))
+    link = "<p><a href=x>See the long list of rivers in the linked article about rivers</a> for more</p>"
+    assert "long list" in X.main_text(f"<article><p>{one}</p>{link}<p>{two}</p></article>")
+    crumbs = "<p><a href=1>Home</a></p><p><a href=2>News</a></p>"
+    assert X.main_text(f"<main>{crumbs}<p>{one * 3}</p><p><a href=3>Share</a></p><p>{two * 3}</p></main>") == f"{one * 3} {two * 3}"
+    menu = "<div>" + "".join(f"<a href={k}>entry {k}</a> " for k in range(12)) + "</div>"
+    assert X.main_text(f"{menu}<div>{one}</div><div>{two}</div>{menu}") == f"{one} {two}"
+
+
+def test_query_against_another_extractor(spark):
+    """The registered query on a whole table, against articles cut out by their tags."""
+    sf = "/root/testdata/sf0.01"
+    rows = {r.page_id: r for r in queries.op3_html_text(spark, sf).collect()}
+    pages = duckdb.sql(f"SELECT page_id, url, html FROM '{sf}/pages.parquet'").fetchall()
+    assert len(rows) == len(pages)
+    for page_id, url, page in pages:
+        body = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
+        want = re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>?", " ", re.sub("</?b>", "", body)))).strip()
+        assert (rows[page_id].url, rows[page_id].text, rows[page_id].n_chars) == (url, want, len(want))
 
 
 def test_missing_end_tags():
