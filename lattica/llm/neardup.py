@@ -27,9 +27,9 @@ the linked member with most of that excess takes its place.
 
 Candidates are pairs of a pivot's members that share such a shingle. One minus the
 similarity is a metric, so their distances to the pivot must differ by no more than
-``1 - t``; the places of the shared shingle in both sorted lists bound what they can share;
-and where all excess of both is known, the number of shared ones must suffice. What is
-left is verified. No bucket pair that could join two components is lost, and families of
+``1 - t``, and where all excess of both is known, what they share of it must suffice: that is
+counted in short lists, and bounded by the places of the shared shingle in long ones.
+What is left is verified. No bucket pair that could join two components is lost, and families of
 copies do not emit their pairs.
 """
 
@@ -50,6 +50,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 _BYTES = 1 << 20
 _KEY_BITS = np.uint64(50)
+#: Shingles of a sorted excess that go with each of its rows.
+_HEAD = 64
 #: Texts of one vectorised step: their index takes the other 14 bits of a composite key.
 _TEXTS = 1 << 14
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -363,19 +365,22 @@ def _open_pairs(ws: Workspace, star: DataFrame, members: DataFrame, comps: DataF
     live = rows.groupBy("a").agg(F.max("open").alias("any"), F.min("weight").alias("least")).where("any").drop("any")
     rows = ws.stage(rows.join(live, "a").withColumn("full", F.size("excess") == F.col("weight") - F.col("inter")), "live")
     own = ["b", "weight", "inter", "far", "comp", "open", "full"]
-    entries = rows.select("a", *own, F.size("excess").alias("n"), F.posexplode("excess").alias("nth", "shingle"))
+    place = ["n", "nth", "head"]
+    entries = rows.select("a", *own, F.size("excess").alias("n"), F.slice("excess", 1, _HEAD).alias("head"), F.posexplode("excess").alias("nth", "shingle"))
     mixed = entries.groupBy("a", "shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("open").alias("any")).where("low != high AND any").select("a", "shingle")
     entries = ws.stage(entries.join(mixed, ["a", "shingle"], "left_semi"), "excess")
-    other = lambda df: df.withColumnsRenamed({c: f"m_{c}" for c in (*own[1:], "n", "nth")} | {"b": "m"})
+    other = lambda df: df.withColumnsRenamed({c: f"m_{c}" for c in (*own[1:], *place)} | {"b": "m"})
     near = (F.least("weight", "m_weight") >= threshold * F.greatest("weight", "m_weight") - 1e-9) & (F.abs(F.col("far") - F.col("m_far")) <= 1 - threshold + 1e-9)
     pair = (F.least("b", "m").alias("x"), F.greatest("b", "m").alias("y"))
     k = threshold / (1 + threshold)
-    # What a link's excess must share, where all of it is known.
+    # What a link's excess must share, where all of it is known, and what it can share.
     need = F.when(F.col("full") & F.col("m_full"), k * (F.col("weight") + F.col("m_weight")) - F.least("inter", "m_inter") - 1e-6).otherwise(F.lit(0.0))
-    most = F.least("nth", "m_nth") + F.least(F.col("n") - F.col("nth"), F.col("m_n") - F.col("m_nth"))
-    once = ~F.col("m_open") | (F.col("b") < F.col("m"))
-    met = entries.where("open").join(other(entries), ["a", "shingle"]).where((F.col("comp") != F.col("m_comp")) & near & once).withColumn("need", need).where(most >= F.col("need"))
-    by_excess = met.groupBy("a", "b", "m", "need").agg(F.count(F.lit(1)).alias("shared")).where("shared >= need").select(*pair)
+    both = F.array_intersect("head", "m_head")
+    bound = F.least("nth", "m_nth") + F.least(F.col("n") - F.col("nth"), F.col("m_n") - F.col("m_nth"))
+    most = F.when((F.col("n") <= _HEAD) & (F.col("m_n") <= _HEAD), F.size(both)).otherwise(bound)
+    # A pair once if it shares any of both heads: at the least one.
+    once = (~F.col("m_open") | (F.col("b") < F.col("m"))) & F.coalesce(F.array_min(both) == F.col("shingle"), F.lit(True))
+    by_excess = entries.where("open").join(other(entries), ["a", "shingle"]).where((F.col("comp") != F.col("m_comp")) & near & once & (most >= need)).select(*pair)
     roomy = rows.where("open").withColumn("room", F.col("inter") / k - F.col("weight") + 1e-6).where("room >= least").select("a", *own, "room")
     by_size = roomy.join(other(rows.select("a", *own)), "a").where("m_weight <= room AND comp != m_comp").where(near).select(*pair)
     return by_excess.union(by_size).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
