@@ -22,6 +22,7 @@ same files.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -119,6 +120,20 @@ _LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
 #: lower-cased form as the tokenizer does.
 _UNSAFE = re.compile("[^\t\n\r -~\u00a1\u00ab\u00bb\u00bf\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
+#: What a tokenizer file must say for the short way above; any other goes the long way.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def splits_by_words(rules: dict) -> bool:
+    """Whether a tokenizer file lower-cases and splits texts as :class:`WordEncoder` does itself."""
+    model, steps = rules["model"], (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        (rules.get("normalizer") or {}).get("normalizers") == _NORMALIZER
+        and len(steps) == 2 and steps[0] == _SPLIT and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"] and rules.get("post_processor") is None and rules.get("truncation") is None
+        and all(t["content"].startswith("<|") and not t["normalized"] for t in rules["added_tokens"])
+    )
 
 
 class WordEncoder(dict):
@@ -128,7 +143,7 @@ class WordEncoder(dict):
     Texts of Latin letters, digits and plain marks are split here by the same pattern,
     and pieces not yet known go to the tokenizer's model together. Any other text goes
     through the whole tokenizer, its space-separated words likewise cached, since white
-    space always ends a piece.
+    space always ends a piece. A tokenizer file of other rules encodes whole texts.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
@@ -136,6 +151,7 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.by_words = splits_by_words(json.loads(self.tokenizer.to_str()))
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
@@ -155,6 +171,8 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without an end id."""
+        if not self.by_words:
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         split = [None if "<|" in t or _UNSAFE.search(t) else _PIECE.findall(t.lower()) for t in texts]
         every = set().union(*filter(None, split))
         missing = every - self.keys()

@@ -69,3 +69,22 @@ def test_query(spark):
         ids = np.array([*plain(d.text or ""), 1], "<u4")
         assert got[d.doc_id] == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_other_tokenizer_rules_encode_whole_texts(tmp_path):
+    """A file whose rules differ from those of the short way gives that file's own ids."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    rules = json.loads(Tokenizer.from_file(path).to_str())
+    assert X.splits_by_words(rules) and X.WordEncoder(path).by_words
+    rules["normalizer"]["normalizers"] = rules["normalizer"]["normalizers"][:2]
+    other = f"{tmp_path}/cased.json"
+    with open(other, "w") as f:
+        json.dump(rules, f)
+    encoder, tokenizer = X.WordEncoder(other), Tokenizer.from_file(other)
+    texts = ["Upper and lower Case", "", "It's 2024, ok?", "\u65e5\u672c"]
+    assert not encoder.by_words
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
