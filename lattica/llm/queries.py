@@ -10,6 +10,8 @@ from lattica.llm import decontaminate, exact_dedup, html_text, licenses, mixing,
 
 #: Folder of public tokenizer files; a parameter of the operators, never copied.
 TOKENIZER = "word_bpe_49k.json"
+#: Text of a shard in op7_sharding.
+SHARD_BYTES = 1 << 20
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,7 +51,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(_table(spark, sf_dir, "documents"))
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +60,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return urls.judge_urls(pages, urls.listed_by_name(pages))
+    return urls.judge_urls(pages, urls.listed_by_word(pages))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +94,7 @@ _URLS = f"""
         regexp_replace(regexp_replace(regexp_extract(url, '(?s)^.*?://[^?#]*[?]([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&+', '') AS clean FROM u),
     c AS (SELECT page_id, host, path, {_CANONICAL} AS canonical FROM p),
     rules(rule, rhost, rpath, v) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
-    listed AS (SELECT DISTINCT canonical FROM c WHERE canonical <> '' AND split_part(regexp_replace(host, '^(www|m)[.]', ''), '.', 1) IN ({', '.join(f"'{n}'" for n in urls.LISTED_NAMES)})),
+    listed AS (SELECT DISTINCT canonical FROM c WHERE canonical <> '' AND regexp_matches(host, '(^|[.-])({'|'.join(urls.LISTED_WORDS)})([.-]|$)')),
     m AS (SELECT c.*, (SELECT max_by(struct_pack(rule, v), length(rule)) FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS r, canonical IN (SELECT canonical FROM listed) AS listed FROM c)
     SELECT page_id, host, path, r.rule AS rule, coalesce(r.v, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM m
 """
@@ -124,7 +126,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op7_sharding": f"""
         WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes, ('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:15])::BIGINT AS h FROM documents),
-        b AS (SELECT n AS d, h >> (60 - n)::BIGINT AS prefix, sum(bytes) <= {sharding.LIMIT} OR min(h) = max(h) AS fits FROM d, range(61) r(n) GROUP BY ALL),
+        b AS (SELECT n AS d, h >> (60 - n)::BIGINT AS prefix, sum(bytes) <= {SHARD_BYTES} OR min(h) = max(h) AS fits FROM d, range(61) r(n) GROUP BY ALL),
         l AS (SELECT doc_id, bytes, h, min(b.d) AS depth FROM (SELECT DISTINCT doc_id, bytes, h FROM d) x, b WHERE b.fits AND b.prefix = x.h >> (60 - b.d)::BIGINT GROUP BY ALL),
         s AS (SELECT d.doc_id, d.bytes, l.depth, right(lpad(bin(d.h), 60, '0'), 60)[1:l.depth] AS shard FROM d JOIN l ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.bytes = l.bytes)
         SELECT doc_id, bytes, shard, depth::BIGINT AS depth, count(*) OVER (PARTITION BY shard) AS shard_docs, sum(bytes) OVER (PARTITION BY shard)::BIGINT AS shard_bytes FROM s

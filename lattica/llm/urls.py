@@ -18,8 +18,12 @@ from lattica.llm.workspace import Workspace
 
 #: (host, path, verdict); a rule fits its host and all subdomains.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: First labels, after a leading www. or m., of the hosts whose URLs are listed by default.
-LISTED_NAMES = ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+# Words of host names that lists of unwanted sites are made by.
+LISTED_WORDS = (
+    "ads", "adserver", "adult", "affiliate", "bets", "betting", "bingo", "casino", "casinos", "cialis", "clickbait", "coupons", "crack", "cracked", "doubleclick",
+    "escort", "escorts", "gambling", "hentai", "jackpot", "keygen", "loans", "lottery", "malware", "nude", "payday", "pharma", "phishing", "pills", "poker", "popunder",
+    "porn", "porno", "roulette", "sex", "slots", "spam", "spammer", "spyware", "torrent", "torrents", "tracker", "tracking", "viagra", "warez", "webcam", "xxx",
+)
 WORDS, PROBES = 8, 8
 URLS_PER_BLOCK = 32
 #: 64 bytes each and an 8-byte number: 36 MB.
@@ -99,7 +103,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical"))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    rows = ws.stage(rows.withColumns({"rule": rule, "ruled": verdict}), "rows")
+    rows = rows.withColumns({"rule": rule, "ruled": verdict})
     wanted = ws.stage(listed.select(canonical(F.col(listed_col).cast("string")).alias("canonical")).where("canonical != ''").distinct(), "listed")
     n_blocks = max(1, wanted.count() // URLS_PER_BLOCK)
     blocks = ws.stage(build_filter(wanted, n_blocks), "filter")
@@ -108,14 +112,15 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     passes = F.lit(True)
     for i, m in enumerate(masks):
         passes = passes & (F.coalesce(F.col(f"w{i}"), F.lit(0).cast("long")).bitwiseAND(m) == m)
-    probed = ws.stage(probe.withColumn("maybe", passes & (F.col("host") != "")).select(*rows.columns, "maybe"), "probed")
+    # One pass over the table; only possible hits are joined with the list.
+    probed = ws.stage(probe.select(*rows.columns, (passes & (F.col("host") != "")).alias("maybe")), "probed")
     hits = probed.where("maybe").join(wanted.withColumn("listed", F.lit(True)), "canonical", "left").select(*rows.columns, F.coalesce("listed", F.lit(False)).alias("listed"))
     rest = probed.where("not maybe").select(*rows.columns, F.lit(False).alias("listed"))
     judged = hits.unionAll(rest)
     return ws.finish(judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "listed"))
 
 
-def listed_by_name(pages: DataFrame, names: Sequence[str] = LISTED_NAMES, url_col: str = "url") -> DataFrame:
-    """The default list: URLs of hosts whose first label is one of ``names``."""
-    label = F.element_at(F.split(F.regexp_replace(host_of(F.col(url_col)), r"\A(www|m)\.", ""), r"\."), 1)
-    return pages.select(url_col).where(label.isin(*names))
+def listed_by_word(urls: DataFrame, words: Sequence[str] = LISTED_WORDS, url_col: str = "url") -> DataFrame:
+    """A list cut from any table of URLs: those with one of ``words`` between the dots and
+    hyphens of their host."""
+    return urls.select(url_col).where(F.arrays_overlap(F.split(host_of(F.col(url_col).cast("string")), "[.-]"), F.array(*map(F.lit, words))))

@@ -58,6 +58,17 @@ def test_blocks_joined_by_shuffle(spark, monkeypatch):
     assert sorted(map(repr, X.judge_urls(df, df).collect())) == want
 
 
+def test_list_of_another_table(spark):
+    """A list that shares nothing with the pages but a few URLs; and one cut by words of hosts."""
+    df = spark.createDataFrame(PAGES, "page_id long, url string")
+    foreign = spark.range(20_000).select(F.concat(F.lit("https://h"), F.col("id").cast("string"), F.lit(".example.com/p")).alias("address"))
+    listed = foreign.union(spark.createDataFrame([("http://bad.com/p",), ("http://host",)], "address string"))
+    assert {r.page_id for r in X.judge_urls(df, listed, listed_col="address").collect() if r.listed} == {9, 15, 16}
+    hosts = ["http://best-casino.com/", "http://casinos.org", "http://occasino.com/", "http://x.ads.net/q", "http://heads.com", None, "spam"]
+    urls = spark.createDataFrame([(h,) for h in hosts], "url string")
+    assert [r.url for r in X.listed_by_word(urls).collect()] == ["http://best-casino.com/", "http://casinos.org", "http://x.ads.net/q"]
+
+
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     same(queries.op9_url_filter(spark, sf), connect(sf), queries.ORACLE_SQL["op9_url_filter"])
