@@ -30,8 +30,6 @@ TILTS = (0.5, 0.0, -0.5)
 BUDGET = 1.5
 MAX_REPEATS = 2.0
 SLICE_DOCS = 1024
-#: Sources up to which their thresholds are broadcast; beyond it they are joined by shuffle.
-BROADCAST_SOURCES = 10_000
 _WORD = r"[^\x20\x09-\x0D]+"
 _KEY_SPACE = float(1 << 60)
 
@@ -46,10 +44,10 @@ def shuffle_key(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
     """(doc_id, src, key, size): size counts runs of characters other than ASCII white space."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("src"), shuffle_key(F.col("doc_id").cast("long")).alias("key"), F.regexp_count(text, F.lit(_WORD)).cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("src"), shuffle_key(F.col("doc_id").cast("long")).alias("key"), F.regexp_count(text, F.lit(_WORD)).cast("long").alias("size"), *more)
 
 
 def _cycle(values: tuple[float, ...], place: Column) -> Column:
@@ -92,50 +90,54 @@ def assign(docs: DataFrame, **options) -> DataFrame:
 
 
 def _assigned(ws: Workspace, rows: DataFrame, options: dict) -> DataFrame:
-    out = _streams(ws, rows, options)
+    out = _streams(rows, *_bases(ws, rows, options))
     n = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     columns = ["doc_id", "size", "source_size", "target", "taken", "first_position", "second_position"]
     return out.select(*columns).repartitionByRange(n, "first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
-def _streams(ws: Workspace, rows: DataFrame, options: dict) -> DataFrame:
+def _slice(slices: int) -> Column:
+    return F.floor(F.col("key") / _KEY_SPACE * slices).cast("long")
+
+
+def _bases(ws: Workspace, rows: DataFrame, options: dict) -> tuple[DataFrame, int]:
+    """(src, slice, words of the source before the slice, source_size, target, tilt), and the number of slices."""
     slices = max(1, rows.count() // SLICE_DOCS)
-    cut = rows.withColumn("slice", F.floor(F.col("key") / _KEY_SPACE * slices).cast("long"))
-    sums = cut.groupBy("src", "slice").agg(F.sum("size").alias("slice_size"))
+    sums = rows.groupBy("src", _slice(slices).alias("slice")).agg(F.sum("size").alias("slice_size"))
     base = F.coalesce(F.sum("slice_size").over(W.partitionBy("src").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("src", "slice", base.alias("base")).join(ws.stage(targets(rows, **options), "targets"), "src")
+    return ws.stage(sums, "slices"), slices
+
+
+def _streams(rows: DataFrame, bases: DataFrame, slices: int) -> DataFrame:
+    """The rows with their place: what each pass takes of a document, and when."""
     inside = F.coalesce(F.sum("size").over(W.partitionBy("src", "slice").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = cut.withColumn("inside", inside).join(ws.stage(sums, "slices"), ["src", "slice"]).withColumn("start", F.col("base") + F.col("inside"))
+    placed = rows.withColumn("slice", _slice(slices)).withColumn("inside", inside).join(bases, ["src", "slice"]).withColumn("start", F.col("base") + F.col("inside"))
     owed = F.floor("target")
     first = F.greatest(F.least(F.col("size"), owed - F.col("start")), F.lit(0))
     second = F.greatest(F.least(F.col("size"), owed - F.col("source_size") - F.col("start")), F.lit(0))
     placed = placed.withColumns({"first": first, "second": second})
-    return placed.select(
-        "doc_id", "src", "key", "size", "source_size", "target", "tilt", "first", "second", (F.col("first") + F.col("second")).alias("taken"),
-        F.when(F.col("first") > 0, _position(F.col("start"))).alias("first_position"),
-        F.when(F.col("second") > 0, _position(F.col("start") + F.col("source_size"))).alias("second_position"),
-    )
+    return placed.withColumns({
+        "taken": F.col("first") + F.col("second"),
+        "first_position": F.when(F.col("first") > 0, _position(F.col("start"))),
+        "second_position": F.when(F.col("second") > 0, _position(F.col("start") + F.col("source_size"))),
+    })
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, whole, in training order; one taken twice appears twice.
 
-    A document is emitted for a pass when the mix takes at least half of it there. Within
-    a source that is a prefix of hash order, so the decision needs two thresholds per
-    source and no text is joined, only range-sorted by position. Positions are those of
-    hash order, which the slices' sums approximate to within one document.
+    A document is emitted for a pass when the mix takes at least half of it there, at the
+    position where its source's cumulative words meet the schedule. Texts go to their
+    slice of a source for the running sums, and then to their place in the order; rows
+    that cannot be told apart keep no order of their own.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "mixing")
-    streams = _streams(ws, ws.stage(sized(docs), "sized"), options)
-    last = lambda words: F.max(F.when((F.col("size") > 0) & (2 * F.col(words) >= F.col("size")), F.col("key")))
-    limits = streams.groupBy("src").agg(last("first").alias("last_1"), last("second").alias("last_2"), F.max("target").alias("target"), F.max("source_size").alias("source_size"), F.max("tilt").alias("tilt"))
-    limits = ws.finish(limits)
-    limits = F.broadcast(limits) if limits.count() <= BROADCAST_SOURCES else limits
+    bases, slices = _bases(ws, ws.stage(sized(docs), "sized"), options)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(row.alias("row"), source_key(F.col("source")).alias("src"), shuffle_key(F.col("doc_id").cast("long")).alias("key")).join(limits, "src")
-    passes = F.array_compact(F.array(F.when(F.col("key") <= F.col("last_1"), F.lit(0)), F.when(F.col("key") <= F.col("last_2"), F.lit(1))))
-    words = F.col("source_size") * (F.col("key") / _KEY_SPACE + F.col("pass"))
-    emitted = keyed.withColumn("pass", F.explode(passes)).withColumn("position", _position(F.least(words, F.col("target"))))
+    streams = _streams(sized(docs, row.alias("row")), ws.finish(bases), slices)
+    position = lambda name: F.when((F.col("size") > 0) & (2 * F.col(name) >= F.col("size")), F.col(f"{name}_position"))
+    emitted = streams.select("row", "src", "key", F.explode(F.array_compact(F.array(position("first"), position("second")))).alias("position"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return emitted.repartitionByRange(n, "position").sortWithinPartitions("position").select("row.*")
+    return emitted.repartitionByRange(n, "position", "src", "key").sortWithinPartitions("position", "src", "key").select("row.*")

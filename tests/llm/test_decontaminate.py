@@ -66,3 +66,19 @@ def test_query_against_brute_force(spark):
     read = lambda t, k: [(r[k], r.text) for r in spark.read.parquet(f"{sf}/{t}.parquet").collect()]
     got = {(r.doc_id, r.item_id, r.n_item_shingles, r.n_found) for r in queries.op8_decontaminate(spark, sf).collect()}
     assert got == brute(read("documents", "doc_id"), read("benchmark", "item_id"))
+
+
+def test_large_benchmark_is_joined(spark, monkeypatch):
+    """A benchmark over the broadcast's bounds gives the same leaks by equal hashes."""
+    monkeypatch.setattr(X, "BLOCK_CHARS", 100)
+    test_random_passages(spark)
+    test_query_against_brute_force(spark)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (None, "a b c d e f"), (1, "other words that are clean"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "A b c d e f " + "x" * 0), (2, "z" * 200)], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in X.drop_leaked(docs, items).collect()) == [(1, "other words that are clean"), (2, "")]
+
+
+def test_partitions_by_size():
+    for n in range(1, 300):
+        c = X.size_class(n)
+        assert ((1 << (c - 1)) + 1 if c else 1) <= n <= 1 << c

@@ -82,3 +82,21 @@ def test_mixed_documents(spark):
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     same(queries.op4_mixing(spark, sf), connect(sf), queries.ORACLE_SQL["op4_mixing"])
+
+
+def test_mixed_documents_stand_in_order_of_position(spark, monkeypatch):
+    """The order of the mix is that of the exact positions, over slices and sources."""
+    monkeypatch.setattr(X, "SLICE_DOCS", 20)
+    rows = [(i, f"w{i} " * (1 + i * 7 % 30), "en", f"s{min(i % 5, 2)}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = []
+    for r in X.assign(df).collect():
+        first = min(r.taken, r.size)
+        want += [(r.first_position, r.doc_id)] if r.size and 2 * first >= r.size else []
+        want += [(r.second_position, r.doc_id)] if r.size and 2 * (r.taken - first) >= r.size else []
+    got = [r.doc_id for r in X.mix_documents(df).collect()]
+    position = defaultdict(list)
+    for p, i in sorted(want):
+        position[i].append(p)
+    order = [position[i].pop(0) for i in got]
+    assert len(got) == len(want) and order == sorted(order)
