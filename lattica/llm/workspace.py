@@ -7,14 +7,17 @@ Every intermediate is a Parquet table under the folder that the session names in
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Result tables that :meth:`Workspace.finish` has left since :func:`discard_results` last ran.
+#: Result tables that :meth:`Workspace.finish` has left and nobody has discarded.
 _RESULTS: list[str] = []
+#: Stages after which a run lets Spark drop what finished ones hold.
+_RELEASE = 6
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,12 +46,27 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def discard_results(spark: SparkSession) -> None:
-    """Delete the result tables that operators of this process left; whoever read them is done."""
-    while _RESULTS:
+def results() -> int:
+    """How many result tables operators of this process have left."""
+    return len(_RESULTS)
+
+
+def discard_results(spark: SparkSession, since: int = 0) -> None:
+    """Delete the result tables left after the first ``since`` ones; whoever read them is done."""
+    while len(_RESULTS) > since:
         delete_path(spark, _RESULTS.pop())
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and broadcasts of finished steps.
+
+    Spark drops them when the driver has collected what refers to them, which a driver
+    with little to do puts off; its heap would grow with the number of steps meanwhile.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Workspace:
     """Stages of one run. ``finish`` keeps only the result table and drops the rest."""
 
@@ -65,6 +83,8 @@ class Workspace:
         """Write ``df`` and read it back."""
         path = self.path(label)
         df.write.parquet(path)
+        if self._n % _RELEASE == 0:
+            release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def counted(self, df: DataFrame, label: str = "step", what: Column | None = None) -> tuple[DataFrame, int]:
