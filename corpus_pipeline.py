@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate, mixing, neardup, queries, tokens, toxicity
-from lattica.llm.workspace import Workspace, shared_dir
+from lattica.llm.workspace import Workspace, discard_results, results, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,11 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what operators leave between them is deleted."""
     ws = Workspace(spark, "pipeline")
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before = results()
         done = ws.stage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard_results(spark, before)
         if docs.inputFiles() and docs.inputFiles()[0].startswith(ws.root):
             ws.drop(docs)
         docs = done
