@@ -49,10 +49,10 @@ class Settings:
     clean_rows: int = 2000
     steps: int = 300
     batch_docs: int = 18
-    #: Windows of a clean text, and of a toxic one, that a step may look at.
-    step_windows: int = 12
-    #: Texts of more windows than this only calibrate: one label says little of so many.
-    train_windows: int = 128
+    #: Windows of a clean text, and of a toxic one, that a step looks at; of longer texts
+    #: each step draws others.
+    step_windows: int = 64
+    toxic_windows: int = 1024
     rate: float = 0.01
     #: Of the word and n-gram tables: what is added to Adam's divisor, and weight decay.
     table_floor: float = 1e-3
@@ -301,7 +301,7 @@ def train(texts: list[str], toxic: list[int], s: Settings | None = None) -> Netw
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
     # A fifth of the texts calibrates, the rest trains.
     held = rng.permutation(len(y)) < len(y) // 5
-    pools = [np.flatnonzero((y == k) & ~held & (np.diff(first) > 0) & (np.diff(first) <= s.train_windows)) for k in (0, 1)]
+    pools = [np.flatnonzero((y == k) & ~held & (np.diff(first) > 0)) for k in (0, 1)]
     if min(map(len, pools)) == 0:
         pools = [np.flatnonzero((y == k) & (np.diff(first) > 0)) for k in (0, 1)]
     if min(map(len, pools)) == 0:
@@ -318,10 +318,11 @@ def train(texts: list[str], toxic: list[int], s: Settings | None = None) -> Netw
         for k, d in enumerate(docs):
             a, b = first[d], first[d + 1]
             own = np.arange(a, b)
-            if b - a > s.step_windows and y[d] == 0:
-                own = rng.choice(own, s.step_windows, replace=False)
+            most = s.toxic_windows if y[d] else s.step_windows
+            if b - a > most:
+                own = rng.choice(own, most, replace=False)
             picked.append(own)
-            weight.append(np.full(len(own), (b - a) / len(own)))
+            weight.append(np.full(len(own), 1.0 if y[d] else (b - a) / len(own)))
             group.append(np.full(len(own), k))
         picked, weight, group = np.concatenate(picked), np.concatenate(weight), np.concatenate(group)
         rows = window_rows(places, start[picked], stop[picked], s)
