@@ -25,7 +25,7 @@ from lattica.llm.license_texts import TEXTS
 
 #: Characters that are no part of a word, as fixed by the task.
 _SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = r"[a-z0-9A-Z\x80-\x{10FFFF}]+"
 #: Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 

@@ -444,7 +444,7 @@ def fitted(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Net
 class _Scorer(dict):
     """Scores texts; maps words to rows of a growing table of gate inputs."""
 
-    LIMIT = 200_000
+    LIMIT = 120_000
 
     def __init__(self, net: Network):
         super().__init__()
