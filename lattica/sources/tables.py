@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions import ids
 from lattica.sources.schema import Table, text_width
 
 
@@ -24,6 +25,11 @@ def conform(rows: DataFrame, table: Table) -> DataFrame:
     return rows.select(*out)
 
 
+def new_rows(spark: SparkSession, table: Table, size: int, millis: int) -> DataFrame:
+    """``size`` rows of defaults with new ids of the time ``millis``; version 0 until stored."""
+    return conform(spark.range(size).select(ids.new_ids(millis).alias("id")), table)
+
+
 def write_snapshot(rows: DataFrame, path: str, sort_by: str | None = None) -> None:
     """Store a table, sorted by an index column so that Parquet statistics prune ranges."""
     (rows.sortWithinPartitions(sort_by) if sort_by else rows).write.parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from lattica.functions import ids
 from lattica.operators import changes, clusters, guards, migrate, reads, schedule, security, stats
 from lattica.sources.schema import Column, Table, normal_type, status
-from lattica.sources.tables import conform
+from lattica.sources.tables import conform, new_rows
 
 ITEM = Table("Item", {"owner": Column("int64", 0, index=True), "model": Column("float32", 0.0, index=True), "qty": Column("int16", 1), "level": Column("int8", 1), "time": Column("int64", 0, unique=True), "name": Column("U8", "", unique=True), "used": Column("bool", False)}, "OWNER")
 
@@ -286,6 +286,8 @@ def test_new_ids(spark):
     made = spark.range(0, 20_000, 1, 7).select(ids.new_ids(ids.EPOCH_MS + 5).alias("id"))
     got = [r.id for r in made.collect()]
     assert len(set(got)) == 20_000 and min(got) >= 5 << 22
+    rows = new_rows(spark, ITEM, 500, ids.EPOCH_MS + 5).collect()
+    assert len({r.id for r in rows}) == 500 and all((r.qty, r.level, r.name, r._version) == (1, 1, "", 0) for r in rows)
     texts = ["", "a", "a\u0000", "ab", "b", "é"]
     hexes = [r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").select(ids.sortable_hex(F.col("t"), "text").alias("h")).collect()]
     assert hexes == sorted(hexes)
