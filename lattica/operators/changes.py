@@ -128,6 +128,13 @@ def delta(old: DataFrame, new: DataFrame, *, id_col: str) -> DataFrame:
     return joined.withColumn("_op", op).where("_op IS NOT NULL").select("_op", id_col, "row.*")
 
 
+def row_updates(ids: DataFrame, visible: DataFrame, *, id_col: str) -> DataFrame:
+    """What the watchers of single rows get: each touched id with its row as it is now, or
+    nulls where it is gone or no longer to be seen."""
+    rows = visible.drop("_version").withColumn("_there", F.lit(True))
+    return ids.select(id_col).distinct().join(rows, id_col, "left").withColumn("_op", F.when(F.col("_there"), "row").otherwise("delete")).drop("_there")
+
+
 def fold(view: DataFrame, deltas: DataFrame, *, id_col: str) -> DataFrame:
     """A client's view after a delta."""
     kept = view.join(deltas.select(id_col), id_col, "left_anti")

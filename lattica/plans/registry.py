@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import ids
-from lattica.operators import changes, clusters, guards, reads, schedule, security, stats
+from lattica.operators import changes, clusters, guards, migrate, reads, schedule, security, stats
 from lattica.sources.schema import Column, Table
 from lattica.sources.tables import conform, load
 
@@ -409,6 +409,29 @@ def live_view(spark, sf):
     return reads.client_format(changes.fold(old, changes.delta(old, new, id_col="id"), id_col="id"))
 
 
+@query(f"""{_LIVE_SQL}
+    SELECT 'add' AS stream, n.id FROM n WHERE n.id NOT IN (SELECT id FROM o) UNION ALL SELECT 'remove', o.id FROM o WHERE o.id NOT IN (SELECT id FROM n)
+    UNION ALL SELECT 'row', n.id FROM n JOIN o USING (id) WHERE o.owner <> n.owner OR o.price <> n.price OR o.state <> n.state OR o._version <> n._version
+""")
+def live_streams(spark, sf):
+    """The add, remove and row streams of a live view after a commit."""
+    old, new = _live(spark, sf)
+    stream = F.when(F.col("_op") == "insert", "add").when(F.col("_op") == "delete", "remove").otherwise("row")
+    return changes.delta(old, new, id_col="id").select(stream.alias("stream"), "id")
+
+
+@query(f"""{_LIVE_SQL.replace("o AS (SELECT", "o_ AS (SELECT")}
+    SELECT e.id, a.owner, a.price, a.state, CASE WHEN a.id IS NULL THEN 'delete' ELSE 'row' END AS _op
+    FROM (SELECT DISTINCT id FROM edits) e LEFT JOIN (SELECT * FROM after WHERE owner >= 50) a ON a.id = e.id
+""")
+def row_updates(spark, sf):
+    """Watched rows after a commit, under a row rule: gone and hidden ones are deletes."""
+    snap = _snapshot(spark, sf)
+    edits = _edits(snap)
+    now = security.secured(changes.apply_changes(snap, edits, id_col="id"), ("ge", "owner", "least"), security.Caller(7, user_data={"least": 50}))
+    return changes.row_updates(edits, now, id_col="id")
+
+
 @query(f"""
     WITH snap AS ({_VERSIONED}), edits AS ({_EDITS})
     SELECT 'orders:id:' || id AS channel FROM edits UNION SELECT 'orders:index:price' UNION SELECT 'orders:index:owner'
@@ -527,6 +550,34 @@ def ensure_calls(spark, sf):
     return schedule.ensure_calls(rows.where("id % 2 = 0"), rows.where("id % 3 = 0").select("id", F.lit("new").alias("name")))
 
 
+@query(f"WITH c AS ({_CALLS}) SELECT * FROM c WHERE id NOT IN (SELECT event_id FROM events WHERE user_id % 4 = 0)")
+def cancel_calls(spark, sf):
+    keys = load(spark, sf, "events").where("user_id % 4 = 0").select(F.col("event_id").alias("id"))
+    return schedule.cancel_calls(_calls(spark, sf), keys)
+
+
+@query("""
+    SELECT s_suppkey AS id, 'pay' AS system, '[]' AS args, CAST(s_suppkey AS DOUBLE) AS scheduled, CAST(60 AS INTEGER) AS timeout, false AS recurring, CAST(0 AS DOUBLE) AS created, CAST(0 AS DOUBLE) AS last_run FROM supplier
+    UNION ALL SELECT -1, 'pay', '[7, "x"]', 110.0, 60, false, 100.0, 0.0
+    UNION ALL SELECT -2, 'tick', '[]', 500.0, 5, true, 100.0, 0.0
+""")
+def create_calls(spark, sf):
+    """Two checked calls, one ten seconds from now, join the table."""
+    c = lambda v, kind: F.lit(v).cast(kind)
+    table = load(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.lit("pay").alias("system"), F.lit("[]").alias("args"), F.col("s_suppkey").cast("double").alias("scheduled"), c(60, "int").alias("timeout"), F.lit(False).alias("recurring"), c(0, "double").alias("created"), c(0, "double").alias("last_run"))
+    new = [schedule.call_row(-1, 100.0, -10, "pay", 7, "x"), schedule.call_row(-2, 100.0, 500.0, "tick", timeout=5, recurring=True, locked=False)]
+    return schedule.create_calls(table, new)
+
+
+@query("""
+    SELECT event_type, avg(value) AS mean, max(value) AS worst, count(*) AS n FROM events WHERE value > 50 OR user_id % 9 > 5
+    GROUP BY event_type ORDER BY mean DESC, event_type LIMIT 20
+""")
+def slow_or_retried_calls(spark, sf):
+    events = load(spark, sf, "events").withColumn("tries", F.col("user_id") % 9)
+    return stats.slow_calls(events, "event_type", "value", 50.0, retries="tries")
+
+
 @query("SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
 def purge_locks(spark, sf):
     events = load(spark, sf, "events").select("event_id", "ts")
@@ -563,6 +614,24 @@ def snowflake_unpack(spark, sf):
     return packed.select("event_id", "id", time.alias("millis"), worker.alias("worker"), sequence.alias("sequence"))
 
 
+@query("SELECT o_orderkey, lpad(hex(CAST(o_orderkey - 700 AS HUGEINT) + 9223372036854775808), 16, '0') AS number_key, hex(o_orderpriority) AS text_key FROM orders")
+def sortable_keys(spark, sf):
+    """Text keys that sort as the numbers and texts do."""
+    orders = load(spark, sf, "orders")
+    return orders.select("o_orderkey", ids.sortable_hex(F.col("o_orderkey") - 700, "int").alias("number_key"), ids.sortable_hex(F.col("o_orderpriority"), "text").alias("text_key"))
+
+
+@query("""
+    SELECT c_custkey AS id, CAST(3 AS INTEGER) AS _version, substr(c_name, 1, 12) AS name, CAST(trunc(c_acctbal) AS INTEGER) AS balance, CAST(111 AS SMALLINT) AS extra FROM customer
+""")
+def migrate_forced(spark, sf):
+    """A lossy migration: texts are cut, fractions go, a new column gets its default."""
+    old = Table("Customer", {"name": Column("U18", ""), "balance": Column("float64", 0.0), "nation": Column("int32", 0)})
+    new = Table("Customer", {"name": Column("U12", ""), "balance": Column("int32", 0), "extra": Column("int16", 111)})
+    rows = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit(3).alias("_version"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"))
+    return migrate.migrate(rows, old, new, force=True)
+
+
 @query("SELECT p_partkey, md5(p_name) AS digest FROM part")
 def name_digest(spark, sf):
     return load(spark, sf, "part").select("p_partkey", F.md5(F.col("p_name").cast("binary")).alias("digest"))
@@ -580,6 +649,20 @@ def colocation_clusters(spark, sf):
     return clusters.connected(uses, "s", "t")
 
 
+@query("""
+    WITH RECURSIVE uses AS (SELECT DISTINCT 'c' || c_nationkey AS s, 't' || (c_nationkey // 4 * 2 + c_custkey % 2) AS t FROM customer),
+    r(a, b) AS (SELECT t, t FROM uses UNION SELECT r.a, v.t FROM r JOIN uses u ON u.t = r.b JOIN uses v ON v.s = u.s),
+    c AS (SELECT a AS tab, min(b) AS comp FROM r GROUP BY a), f AS (SELECT t AS tab, count(DISTINCT s) AS refs FROM uses GROUP BY t),
+    h AS (SELECT comp, arg_min(tab, (-refs, tab)) AS hub FROM c JOIN f USING (tab) GROUP BY comp)
+    SELECT tab AS "table", CAST(rank - 1 AS INTEGER) AS cluster FROM c JOIN (SELECT comp, row_number() OVER (ORDER BY hub) AS rank FROM h) USING (comp)
+""")
+def numbered_clusters(spark, sf):
+    """Clusters numbered by the name of their most used table."""
+    group = F.floor(F.col("c_nationkey") / 4) * 2 + F.col("c_custkey") % 2
+    uses = load(spark, sf, "customer").select(F.concat(F.lit("c"), "c_nationkey").alias("s"), F.concat(F.lit("t"), group.cast("string")).alias("t")).distinct()
+    return clusters.numbered_clusters(uses, "s", "t")
+
+
 @query("""
     WITH p AS (SELECT DISTINCT c_nationkey AS system, c_mktsegment AS tab FROM customer), r AS (SELECT tab, count(*) AS refs FROM p GROUP BY tab)
     SELECT system, arg_min(tab, (-refs, tab)) AS hub, max(refs) AS refs FROM p JOIN r USING (tab) GROUP BY system
