@@ -3,8 +3,9 @@
 A page becomes a flat list of text blocks, cut at block-level tags. Each block has its
 word count and link density, those of its neighbours before and after, what stands
 around it: page furniture (nav, header, footer, aside, form), a telling class or id
-(advert, cookie, comment, ...), an article or main element; and how much of the page's
-running text stands in neither furniture nor telling elements. A decision tree of Gini
+(advert, cookie, comment, ...), an article or main element; and, of the page, how much of
+its running text stands in neither furniture nor telling elements and whether it marks an
+article. A decision tree of Gini
 splits, trained here on the labelled blocks of ``LABELLED``, says which are main text.
 Class words are one feature among these: those of an article or main element say
 nothing, and where all text of a page stands under one they do not hide it.
@@ -177,13 +178,15 @@ def blocks_of(page: str) -> list[Block]:
 
 def features(rows: list[tuple[int, float, int, int, int]]) -> np.ndarray:
     """Words, link density, both of the block before and after (0, 0 at the ends), surroundings,
-    and the share of the page's unlinked words outside furniture and telling elements."""
+    the share of the page's unlinked words outside furniture and telling elements, and
+    whether the page marks an article."""
     own = np.array(rows, float).reshape(-1, 5)
     edge = np.zeros((1, 2))
     before, after = np.vstack([edge, own[:-1, :2]]), np.vstack([own[1:, :2], edge])
     running = own[:, 0] * (1 - own[:, 1])
     plain = running[(own[:, 2] == 0) & (own[:, 3] == 0)].sum() / max(running.sum(), 1.0)
-    return np.hstack([own[:, :2], before, after, own[:, 2:], np.full((len(own), 1), plain)])
+    marked = float(own[:, 4].any())
+    return np.hstack([own[:, :2], before, after, own[:, 2:], np.full((len(own), 2), (plain, marked))])
 
 
 #: Labelled pages: (words, link density, in furniture, telling class, in an article, main text).
@@ -232,6 +235,16 @@ LABELLED: tuple[tuple[tuple[int, float, int, int, int, int], ...], ...] = (
     ((1, 1.0, 0, 0, 1, 0), (2, 1.0, 0, 0, 1, 0), (50, 0.0, 0, 0, 1, 1), (2, 1.0, 0, 0, 1, 0), (3, 1.0, 0, 0, 1, 0), (64, 0.0, 0, 0, 1, 1), (4, 0.8, 0, 0, 1, 0), (5, 0.8, 0, 0, 0, 0)),
     ((3, 1.0, 0, 0, 1, 0), (40, 0.0, 0, 0, 1, 1), (2, 1.0, 0, 0, 1, 0), (36, 0.1, 0, 0, 1, 1), (6, 0.8, 0, 0, 1, 0), (4, 1.0, 0, 0, 1, 0)),
     ((2, 1.0, 0, 0, 0, 0), (45, 0.0, 0, 0, 0, 1), (5, 0.8, 0, 0, 0, 0), (90, 0.0, 0, 0, 0, 1), (6, 0.8, 0, 0, 0, 0), (3, 1.0, 0, 0, 0, 0)),
+    # An article of a few words beside longer notices, adverts and comments.
+    ((3, 1.0, 1, 0, 0, 0), (7, 0.0, 0, 1, 0, 0), (1, 0.0, 0, 0, 1, 1), (2, 0.0, 0, 0, 1, 1), (12, 0.0, 1, 0, 0, 0)),
+    ((20, 0.0, 0, 1, 0, 0), (2, 0.0, 0, 0, 1, 1), (35, 0.0, 0, 1, 0, 0), (60, 0.0, 0, 1, 0, 0), (28, 0.05, 0, 1, 0, 0)),
+    ((9, 0.0, 0, 1, 0, 0), (3, 0.0, 0, 0, 1, 1), (40, 0.0, 0, 1, 1, 0), (6, 0.0, 1, 1, 0, 0)),
+    # Articles that end in a word or two, and are little more.
+    ((40, 0.0, 0, 0, 1, 1), (2, 0.0, 0, 0, 1, 1)),
+    ((5, 0.0, 0, 0, 1, 1), (1, 0.0, 0, 0, 1, 1)),
+    ((1, 0.0, 0, 0, 1, 1), (2, 0.0, 0, 0, 1, 1)),
+    ((3, 1.0, 1, 0, 0, 0), (9, 0.0, 0, 1, 0, 0), (1, 0.0, 0, 0, 1, 1), (2, 0.0, 0, 0, 1, 1), (8, 0.0, 0, 1, 0, 0)),
+    ((30, 0.0, 0, 0, 0, 1), (2, 0.0, 0, 0, 0, 1)),
     # A recipe: short lines of a list, then steps.
     ((3, 0.0, 0, 0, 1, 1), (25, 0.0, 0, 0, 1, 1), (4, 0.0, 0, 0, 1, 1), (3, 0.0, 0, 0, 1, 1), (5, 0.0, 0, 0, 1, 1), (4, 0.25, 0, 0, 1, 1), (30, 0.0, 0, 0, 1, 1), (2, 0.5, 0, 1, 1, 0), (6, 0.0, 0, 1, 0, 0)),
     # Documentation: menu of many links in furniture, code and short notes in main.

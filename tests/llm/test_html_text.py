@@ -76,6 +76,12 @@ def test_class_words_do_not_hide_the_article():
         assert X.main_text(f"<article>{body}{extra}</article>") == X.main_text(f"<article>{body}</article>{extra}") == f"{one} {two}"
 
 
+def test_short_article_beside_long_notices():
+    notice = "<div class='ad'>Seven words of an advert that is longer than the article.</div>"
+    for page in (f"{notice}<article><h1>Oh.</h1><p>Well, no.</p></article>", f"<nav><a href=1>One</a></nav>{notice * 3}<main>Oh.<br>Well, no.</main>{notice}"):
+        assert X.main_text(page) == "Oh. Well, no."
+
+
 def test_neighbours_decide_on_links():
     one, two = ("These are the words of a paragraph in the article, more than a line of them." for _ in range(2))
     link = "<p><a href=x>See the long list of rivers in the linked article about rivers</a> for more</p>"
