@@ -49,7 +49,7 @@ END_ID = 1
 #: Stands for a null id in the files.
 NO_ID = -(1 << 63)
 #: Pieces that a worker's cache holds before it starts anew (about 150 bytes each).
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 _MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long"
 
 

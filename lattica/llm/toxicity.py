@@ -47,6 +47,8 @@ class Settings:
     #: Labelled rows that training may read, chosen by hash of their id.
     toxic_rows: int = 1000
     clean_rows: int = 2000
+    #: Characters of the longest text among them; what training holds is bounded by all three.
+    text_chars: int = 250_000
     steps: int = 300
     batch_docs: int = 18
     #: Windows of a clean text, and of a toxic one, that a step looks at; of longer texts
@@ -415,7 +417,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``toxic_rows`` and ``clean_rows`` labelled rows that are not held out.
+    """(doc_id, text, toxic) of at most ``toxic_rows`` and ``clean_rows`` labelled rows that are not
+    held out, without texts of more than ``text_chars`` characters.
 
     Rows are chosen by hash of their id; an id labelled twice counts as toxic if either
     label is. The ids are bounded by those parameters, so they are broadcast.
@@ -425,7 +428,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFram
     order = F.xxhash64("doc_id")
     chosen = known.where("toxic > 0").orderBy(order, "doc_id").limit(s.toxic_rows).unionAll(known.where("toxic <= 0").orderBy(order, "doc_id").limit(s.clean_rows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return rows.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= s.text_chars).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Network:
