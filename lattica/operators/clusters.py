@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.sources.shared import staged
+from lattica.sources.shared import discard, staged
 
 
 def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -15,8 +15,14 @@ def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
     In a round each node points at its least neighbour if that is less than itself, pointers
     are followed to their roots by doubling, and edges between different roots remain. The
     roots at least halve, so the rounds grow with the logarithm of the nodes, whatever
-    the diameter. Each round is written to the shared folder.
+    the diameter. Each round is written to the shared folder; only the result stays there.
     """
+    kept: list[DataFrame] = []
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        kept.append(staged(df, name))
+        return kept[-1]
+
     pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b"))
     rest, labels = pairs.union(pairs.select("b", "a")).distinct(), None
     while True:
@@ -24,7 +30,7 @@ def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
         while not settled:
             for _ in range(2):
                 roots = roots.join(roots.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", F.col("p").alias("was"), F.col("q").alias("p"))
-            roots = staged(roots.select("a", "p", (F.col("p") != F.col("was")).alias("moved")), "roots")
+            roots = step(roots.select("a", "p", (F.col("p") != F.col("was")).alias("moved")), "roots")
             settled, roots = roots.where("moved").isEmpty(), roots.drop("moved")
         root_of = lambda name: roots.select(F.col("a").alias(name), F.col("p").alias(f"{name}_root"))
         if labels is None:
@@ -32,9 +38,12 @@ def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
         else:
             labels = labels.join(root_of("component"), "component", "left").select("node", F.coalesce("component_root", "component").alias("component"))
         ends = rest.join(root_of("a"), "a").join(root_of("b"), "b").where("a_root != b_root")
-        rest = staged(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "edges")
+        rest = step(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "edges")
         if rest.isEmpty():
-            return labels
+            out = staged(labels, "components")
+            for table in kept:
+                discard(table)
+            return out
 
 
 def numbered_clusters(uses: DataFrame, system: str, table: str) -> DataFrame:

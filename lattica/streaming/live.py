@@ -19,7 +19,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from lattica.functions import ids
 from lattica.operators import changes, reads
-from lattica.sources.shared import delete, staged
+from lattica.sources.shared import discard, staged
 
 Send = Callable[[str, DataFrame], None]
 
@@ -56,19 +56,29 @@ class Subscription:
         self.name, self.query, self.id_col, self.channels = name, query, id_col, frozenset(channels)
         self.streams: list[tuple[str, object, Callable[[DataFrame], None]]] = []
         self.last = staged(query(), "live")
+        self.sent: DataFrame | None = None
 
     def refresh(self) -> DataFrame:
-        """The difference to the last result: _op and the row, without its version."""
+        """The difference to the last result: _op and the row, without its version. It can
+        be read until the next refresh."""
         before, self.last = self.last, staged(self.query(), "live")
         delta = staged(changes.delta(before, self.last, id_col=self.id_col).drop("_version"), "delta")
-        for path in before.inputFiles()[:1]:
-            delete(before.sparkSession, path.rsplit("/", 1)[0])
+        discard(before)
+        if self.sent is not None:
+            discard(self.sent)
+        self.sent = delta
         for op, row, call in self.streams:
             rows = delta.where(F.col("_op") == op) if op else delta.where(F.col(self.id_col) == row)
             if not rows.isEmpty():
                 call(rows)
         return delta
 
+    def close(self) -> None:
+        """Drop what the subscription keeps."""
+        discard(self.last)
+        if self.sent is not None:
+            discard(self.sent)
+
     def on_add(self, call: Callable[[DataFrame], None]) -> None:
         """Rows present now, then rows that come in."""
         call(self.last.drop("_version"))
@@ -114,7 +124,8 @@ class Broker:
     def unsubscribe(self, name: str) -> None:
         self.users[name] -= 1
         if not self.users[name]:
-            del self.subscriptions[name], self.users[name]
+            self.subscriptions.pop(name).close()
+            del self.users[name]
 
     def count(self) -> int:
         return len(self.subscriptions)
