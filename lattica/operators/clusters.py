@@ -24,9 +24,9 @@ def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
         return kept[-1]
 
     pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b"))
-    rest, labels = pairs.union(pairs.select("b", "a")).distinct(), None
+    rest, labels = step(pairs.union(pairs.select("b", "a")).distinct(), "edges"), None
     while True:
-        roots, settled = rest.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")), False
+        roots, settled = step(rest.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")), "parents"), False
         while not settled:
             for _ in range(2):
                 roots = roots.join(roots.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", F.col("p").alias("was"), F.col("q").alias("p"))

@@ -16,14 +16,14 @@ def describe(df: DataFrame, column: str) -> DataFrame:
 
 
 #: Rows of a slice that is sorted to find a rank, and slices of a round of narrowing.
-SLICE_ROWS, SLICES = 1 << 16, 64
+SLICE_ROWS, SLICES = 1 << 16, 16
 
 
 def percentiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
     """Exact percentiles with linear interpolation, one column each (p25, p50, ...).
 
     The rank is narrowed to a range of values by counting below approximate quantiles,
-    64 times closer in each pass, until the range holds few rows; only those are sorted.
+    sixteen times closer in each pass, until the range holds few rows; only those are sorted.
     Nothing is shuffled but counts, whatever the number of rows or of distinct values.
     Nulls and NaN are left out; without a value every percentile is null.
     """
